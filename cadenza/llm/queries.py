@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import neardup, packing
+from cadenza.llm import decontam, neardup, packing, secrets
 from cadenza.session import table
 
 
@@ -14,13 +14,21 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=3, radius=2)
     return found.select("doc_id", neardup.unsigned_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op5_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_secret_scans, op5_simhash_near_dedup, op7_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
