@@ -122,7 +122,7 @@ def trigram_index(docs: DataFrame, grams: list[str], block_ids: int = BLOCK_IDS)
     held = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("id"), low.alias("low")).select(
         "id", F.array_compact(F.array(*[F.when(F.col("low").contains(g), F.lit(g)) for g in grams])).alias("grams")
     )
-    each = held.select("id", F.floor(F.col("id") / F.lit(block_ids)).alias("block"), F.explode("grams").alias("gram"))
+    each = held.select("id", F.floor(F.col("id") / F.lit(block_ids)).alias("block"), F.explode_outer("grams").alias("gram")).filter("gram is not null")
     lists = each.groupBy("block", "gram").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     return lists.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "ids"))).alias("postings"))
 
