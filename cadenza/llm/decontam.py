@@ -7,7 +7,8 @@ word; then documents, or the hit spans, are removed.  DataFrame functions only.
 
 Plan: one pass over the texts.  A row's window hashes are exploded straight into
 the broadcast hash join, inside one generated stage, so that only hits and one
-marker row per document are shuffled.  The set is broadcast while it has at most
+marker row per document are shuffled.  The outer explode keeps the optimizer from
+adding a size filter, which would compute the hashes twice.  The set is broadcast while it has at most
 ``broadcast_rows`` windows; beyond that the same join shuffles.
 
 Edge cases: null texts and items have no words.  Rows are told apart by document
@@ -66,7 +67,7 @@ def hit_words(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast
     sized = cut.withColumn("n_words", F.size("w"))
     marker = F.array(F.lit(None).cast("bigint"))
     hashed = sized.withColumn("hs", F.concat(marker, *[window_hashes(F.col("w"), F.col("n_words"), k) for k in lengths]))
-    each = hashed.select("doc_id", "text_hash", "n_words", "w", F.posexplode("hs").alias("at", "h"))
+    each = hashed.select("doc_id", "text_hash", "n_words", "w", F.posexplode_outer("hs").alias("at", "h"))
     before, total = F.lit(0), F.lit(0)  # how many windows of other lengths stand before those of this length
     for k in lengths:
         before = F.when(F.col("len") == k, total).otherwise(before)
