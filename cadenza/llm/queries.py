@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import decontam, neardup, packing, secrets, toxicity
+from cadenza.llm import decontam, fingerprint, neardup, packing, quality, secrets, toxicity
 from cadenza.session import table
 
 
@@ -27,13 +27,22 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.prints(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_secret_scans, op5_simhash_near_dedup, op7_benchmark_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_secret_scans, op5_simhash_near_dedup, op7_benchmark_decontamination, op8_quality_classifier, op9_document_fingerprints, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
