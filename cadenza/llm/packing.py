@@ -48,12 +48,13 @@ def rank_file(vocabulary: str) -> str:
 
 
 @lru_cache(maxsize=4)
-def encoder(vocabulary: str):
+def encoder(vocabulary: str, special: bool = True):
     """text -> uint32 ids, equal to what ``tokenizers`` gives for ``vocabulary``.
 
     The rank file of the same vocabulary is read by tiktoken, about four times
     as fast; a text holding the special token's own string goes to
-    ``tokenizers``, which treats that string as one token.
+    ``tokenizers``, which treats that string as one token (unless ``special`` is
+    false, when it is ordinary text).
     """
     import public_tokenizers
     import tiktoken
@@ -65,7 +66,7 @@ def encoder(vocabulary: str):
     exact: list = []
 
     def encode(text: str) -> np.ndarray:
-        if SPECIAL in text:
+        if special and SPECIAL in text:
             if not exact:
                 exact.append(Tokenizer.from_file(vocabulary))
             return np.array(exact[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)

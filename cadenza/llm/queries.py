@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cadenza.llm import decontam, fingerprint, neardup, packing, quality, secrets, toxicity
+from cadenza.llm import decontam, extraction, fingerprint, neardup, packing, quality, secrets, tokencounts, toolcalls, toxicity
+from cadenza.llm.sql import SQL
 from cadenza.session import table
 
 
@@ -14,6 +16,21 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message as canonical JSON, with how many calls it makes and how many of them are linked."""
+    messages = table(spark, sf_dir, "conversations")
+    schemas = spark.createDataFrame([], "name string, property string, type string, required boolean")
+    made = toolcalls.linked_calls(messages, schemas).groupBy("conv_id", "turn").agg(
+        F.count("*").alias("n_calls"), F.count_if(F.col("status") == "linked").alias("n_linked")
+    )
+    rows = toolcalls.formatted(messages).join(made, ["conv_id", "turn"], "left")
+    return rows.select("conv_id", "turn", "role", "kind", "json", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_calls", "n_linked")])
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -23,6 +40,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", neardup.unsigned_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,8 +63,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_secret_scans, op5_simhash_near_dedup, op7_benchmark_decontamination, op8_quality_classifier, op9_document_fingerprints, op10_toxicity)}
+    every = (
+        op1_best_fit_packing,
+        op2_chat_formatting,
+        op3_token_counts,
+        op4_secret_scans,
+        op5_simhash_near_dedup,
+        op6_html_extraction,
+        op7_benchmark_decontamination,
+        op8_quality_classifier,
+        op9_document_fingerprints,
+        op10_toxicity,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Equivalent DuckDB SQL; tests hold the other queries against brute force."""
+    return dict(SQL)
