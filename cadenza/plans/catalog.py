@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from cadenza.plans import keys
+
+FAMILIES = [keys]
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for family in FAMILIES for f in family.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for family in FAMILIES for name, sql in family.SQL.items()}
