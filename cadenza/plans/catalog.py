@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import keys
+from cadenza.plans import chords, keys
 
-FAMILIES = [keys]
+FAMILIES = [keys, chords]
 
 
 def queries() -> dict:
