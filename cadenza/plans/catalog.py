@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import chords, keys
+from cadenza.plans import chords, keys, rhythm
 
-FAMILIES = [keys, chords]
+FAMILIES = [keys, chords, rhythm]
 
 
 def queries() -> dict:
