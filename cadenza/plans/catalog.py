@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import chords, keys, rhythm
+from cadenza.plans import chords, keys, rhythm, sound
 
-FAMILIES = [keys, chords, rhythm]
+FAMILIES = [keys, chords, rhythm, sound]
 
 
 def queries() -> dict:
