@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import chords, keys, rhythm, sound
+from cadenza.plans import chords, keys, rhythm, sound, structures
 
-FAMILIES = [keys, chords, rhythm, sound]
+FAMILIES = [keys, chords, rhythm, sound, structures]
 
 
 def queries() -> dict:
