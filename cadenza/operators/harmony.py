@@ -44,7 +44,7 @@ def consonance(frames: DataFrame) -> DataFrame:
 def rhythm(frames: DataFrame) -> DataFrame:
     """Rate of large frame-to-frame changes, stability, and regularity of change peaks."""
     before = F.lag("v").over(Window.partitionBy("track", "pc").orderBy("frame"))
-    moved = frames.withColumn("d", F.col("v") - before).filter("d is not null").groupBy("track", "frame").agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("m"))
+    moved = frames.withColumn("d", F.col("v") - before).filter("d is not null").groupBy("track", "frame").agg(F.round(F.sqrt(F.sum(F.col("d") * F.col("d"))), 9).alias("m"))  # rounded, so that equal changes compare equal
     w = Window.partitionBy("track").orderBy("frame")
     stats = moved.groupBy("track").agg(F.avg("m").alias("mean"), F.var_pop("m").alias("var"), F.stddev_pop("m").alias("sd"), F.count("*").alias("n"))
     rows = moved.withColumn("i", F.row_number().over(w)).withColumn("p", F.lag("m").over(w)).withColumn("q", F.lead("m").over(w)).join(stats, "track")

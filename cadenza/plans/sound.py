@@ -159,7 +159,7 @@ f as (select track, case when energy < 0.1 then 0.3 else coalesce(score, 0.9) en
 g as (select track, avg(score) as mean, var_pop(score) as var, count(*) as n, stddev_pop(score) as tension from f group by track),
 l as (select *, case when var > 0.05 or (n > 10 and mean < 0.4) then least(0.4, mean * 0.5) else least(1.0, mean * 1.1 + 0.1) end as level from g)
 select track, round(level, 6)::double as consonance, round(1 - level, 6)::double as dissonance, round(tension, 6) as tension from l""",
-    "harmony_rhythm": f"""{_FR}, d as (select track, frame, v - lag(v) over (partition by track, pc order by frame) as d from frames), m as (select track, frame, sqrt(sum(d * d)) as m from d where d is not null group by all),
+    "harmony_rhythm": f"""{_FR}, d as (select track, frame, v - lag(v) over (partition by track, pc order by frame) as d from frames), m as (select track, frame, round(sqrt(sum(d * d)), 9) as m from d where d is not null group by all),
 s as (select *, row_number() over w as i, lag(m) over w as p, lead(m) over w as q, avg(m) over z as mean, var_pop(m) over z as var, stddev_pop(m) over z as sd, count(*) over z as n from m window w as (partition by track order by frame), z as (partition by track)),
 g as (select track, i - lag(i) over (partition by track order by i) as gap from s where m > p and m > q and m >= mean), h as (select track, stddev_pop(gap) as gsd, avg(gap) as gm, count(*) as k from g group by track),
 a as (select track, any_value(mean) as mean, any_value(var) as var, any_value(n) as n, count(*) filter (m > sd) as c from s group by track)
