@@ -131,7 +131,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     found, gaps = F.regexp_extract_all(text, F.lit(WORD_ANY_CASE), 0), F.split(text, WORD_ANY_CASE, -1)
 
     def inside(i: Column) -> Column:
-        return F.exists(F.col("_hits"), lambda x: (x["pos"] <= i) & (i < x["pos"] + x["len"]))
+        return F.exists(bad["_hits"], lambda x: (x["pos"] <= i) & (i < x["pos"] + x["len"]))
 
     def piece(word: Column, i: Column) -> Column:
         gap = F.when(inside(i) & inside(i + 1), F.lit("")).otherwise(F.get(gaps, i + 1))
@@ -139,4 +139,4 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
 
     cut = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(found, piece), ""))
     joined = docs.join(bad, same, "left")
-    return joined.select(*[F.when(F.col("_hits").isNotNull(), cut).otherwise(docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    return joined.select(*[F.when(bad["_hits"].isNotNull(), cut).otherwise(docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])

@@ -163,20 +163,20 @@ def spans(text: Column, rule: Rule) -> Column:
 
 
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with _spans: an array of (s, k, e) sorted by start and rule order."""
+    """row (the document's columns, as a struct), text and spans: an array of (s, k, e) sorted by start and rule order."""
     asked = {r.kind for r in rules if trigram_query(r.pattern)}
-    found = candidates(docs, rules).withColumnRenamed("id", "_id").withColumnRenamed("rules", "_rules")
-    joined = docs.join(found, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == found["_id"], "left")
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # so that no name can clash
+    joined = rows.join(candidates(docs, rules), F.coalesce(F.col("row.doc_id"), F.lit(NO_ID)) == F.col("id"), "left")
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     none = F.array().cast("array<struct<s:int,e:int>>")
 
     def verified(k: int, rule: Rule) -> Column:
-        maybe = F.array_contains("_rules", rule.kind) if rule.kind in asked else text.rlike(rule.pattern)
+        maybe = F.array_contains("rules", rule.kind) if rule.kind in asked else text.rlike(rule.pattern)
         own = F.when(F.coalesce(maybe, F.lit(False)), spans(text, rule)).otherwise(none)
         return F.transform(own, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
 
     parts = [verified(k, rule) for k, rule in enumerate(rules)]
-    return joined.withColumn("_spans", F.array_sort(F.concat(*parts))).drop("_id", "_rules")
+    return joined.select("row", text.alias("text"), F.array_sort(F.concat(*parts)).alias("spans"))
 
 
 def span_text(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -187,29 +187,27 @@ def span_text(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """Per document: counts and digest of the base spans, and all spans as text."""
     found = with_spans(docs)
-    base = F.filter("_spans", lambda x: x["k"] < len(BASE))
+    base = F.filter("spans", lambda x: x["k"] < len(BASE))
 
     def count(k: int) -> Column:
-        return F.size(F.filter("_spans", lambda x: x["k"] == k)).cast("long")
+        return F.size(F.filter("spans", lambda x: x["k"] == k)).cast("long")
 
     counts = [count(k).alias(f"n_{r.kind}") for k, r in enumerate(BASE)]
-    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("_spans")).alias("spans"))
+    return found.select("row.doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of the text replaced by ``mark``; overlapping spans by one."""
     found = with_spans(docs)
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
-        new = x["s"] >= acc["at"]
         part = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(new, part).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], part).otherwise(acc["out"]).alias("out"))
 
     def finish(acc: Column) -> Column:
         return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text)))
 
-    cut = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, add, finish)).otherwise(docs["text"])
-    out = [cut.alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return found.select(*out)
+    cut = F.when(F.size("spans") > 0, F.aggregate("spans", start, add, finish)).otherwise(F.col("row.text"))
+    return found.select(*[cut.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
