@@ -38,13 +38,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = 5  # characters that a subsequence of three may span
-DECAY = 0.6
+DECAY = 0.75
 CODES = 48
 WIDTH = 24  # characters of a unit; longer words are read in overlapping windows
-MOST_TOXIC, MOST_CLEAN = 3000, 6000
-LANDMARKS = 256
-POOL = 200_000  # clean words, the most frequent, among which hard negatives are sought
-ROUNDS = 4  # of adding the clean words that score highest
+MOST_TOXIC, MOST_CLEAN = 2000, 4000
+LANDMARKS = 384
+SPOILED = 300  # toxic words that are also learned with a character inserted
+POOL = 100_000  # clean words, the most frequent, among which hard negatives are sought
+ROUNDS = 3  # of adding the clean words that score highest
 THRESHOLD = 0.7
 EDGES = " \t.,;:!?\"'()[]{}<>«»“”„…|*#&%$-_"
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")  # words written letter by letter
@@ -77,6 +78,8 @@ def occurrences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, floa
 
 def sizes(words: list[str]) -> np.ndarray:
     """Norm of each word's subsequence vector, where repeats of a subsequence add up."""
+    if len(words) > 4000:
+        return np.concatenate([sizes(words[i : i + 4000]) for i in range(0, len(words), 4000)])
     rows = max(len(words), 1)
     each = [(np.where(there, codes, -1), there * weight) for codes, there, weight in occurrences(words)]
     codes, weights = (np.concatenate(part, axis=1) for part in zip(*each, strict=True))
@@ -148,28 +151,32 @@ class Model:
         """Margin of each word; of long ones the highest over overlapping windows."""
         parts = [(i, w) for i, word in enumerate(found) for w in windows(word)]
         best = np.full(len(found), self.bias if np.isfinite(self.bias) else 0.0)
-        for at in range(0, len(parts), 20_000):
-            some = parts[at : at + 20_000]
+        for at in range(0, len(parts), 5000):
+            some = parts[at : at + 5000]
             np.maximum.at(best, [i for i, _ in some], margins(self.table, self.bias, [w for _, w in some]))
         return best
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
-    def scores(self, texts: list[str | None], cache: dict[str, float]) -> np.ndarray:
+    def margins(self, texts: list[str | None], cache: dict[str, float]) -> np.ndarray:
+        """Of each text the margin of its most toxic unit; ``cache`` keeps those of words seen before."""
         found = [units(t or "") for t in texts]
         if len(cache) > 400_000:
             cache.clear()
         new = list(set().union(*found).difference(cache)) if found else []
         cache.update(zip(new, self.words(new).tolist(), strict=True))
-        return self.probability(np.array([max(map(cache.__getitem__, ws), default=self.bias) for ws in found]))
+        return np.array([max(map(cache.__getitem__, ws), default=self.bias) for ws in found])
+
+    def scores(self, texts: list[str | None], cache: dict[str, float]) -> np.ndarray:
+        return self.probability(self.margins(texts, cache))
 
 
 def windows(word: str) -> list[str]:
+    """The word, and without its punctuation; of long ones overlapping parts."""
     word = word.strip(EDGES)
-    if len(word) <= WIDTH:
-        return [word]
-    return [word[i : i + WIDTH] for i in range(0, len(word) - WIDTH // 2, WIDTH // 2)]
+    forms = [word] if word.isalnum() else [word, "".join(filter(str.isalnum, word))]
+    return [part for w in forms for part in ([w] if len(w) <= WIDTH else [w[i : i + WIDTH] for i in range(0, len(w) - WIDTH // 2, WIDTH // 2)])]
 
 
 def svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5, rounds: int = 60) -> np.ndarray:
@@ -223,17 +230,22 @@ def toxic_words(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> l
     return [w for w, n in toxic.most_common() if len(w) > 2 and clean[w] <= 0.02 * n * n_clean / n_toxic and -chance * n > enough]
 
 
+def inserted(word: str, rng: np.random.Generator) -> str:
+    """The word with one character more inside."""
+    at = int(rng.integers(1, len(word)))
+    return word[:at] + "xaeioundrst"[int(rng.integers(11))] + word[at:]
+
+
 def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model | None:
     """Fit on labelled texts; None without both kinds or without any toxic word."""
     chosen = one_of_each(texts)
     texts, labels = [texts[i] for i in chosen], [labels[i] for i in chosen]
-    found = [{w.strip(EDGES) for w in units(t or "")} - {""} for t in texts]
     y = np.array(labels)
     if not (y == 1).any() or not (y == 0).any():
         return None
     toxic, clean = Counter(), Counter()
-    for ws, label in zip(found, labels, strict=True):
-        (toxic if label else clean).update(ws)
+    for text, label in zip(texts, labels, strict=True):
+        (toxic if label else clean).update({w.strip(EDGES) for w in units(text or "")} - {""})
     positive = toxic_words(toxic, clean, int((y == 1).sum()), int((y == 0).sum()))[:2000]
     if not positive:
         return None
@@ -246,6 +258,8 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model |
     negative = common[:3000] + [rest[i] for i in rng.choice(len(rest), min(3000, len(rest)), replace=False)] if rest else common
     pool = common[:POOL]
     often = np.sqrt([toxic[w] for w in positive])
+    spoiled = [(inserted(w, rng), n / 2) for w, n in zip(positive[:SPOILED], often, strict=False) if 4 <= len(w) < WIDTH for _ in range(4)]
+    positive, often = positive + [w for w, _ in spoiled], np.concatenate([often, [n for _, n in spoiled]])
     for _ in range(ROUNDS):
         half = LANDMARKS // 2
         landmarks = list(dict.fromkeys(positive[:half] + negative[-half:]))
@@ -258,12 +272,11 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model |
         weight = np.concatenate([often * len(negative) / often.sum(), np.ones(len(negative))])
         u = svm(z, sign, weight)
         table, bias = folded(landmarks, whiten @ u[:-1]), float(u[-1])
-        rated = np.concatenate([margins(table, bias, pool[i : i + 20_000]) for i in range(0, len(pool), 20_000)])
+        rated = np.concatenate([margins(table, bias, pool[i : i + 5000]) for i in range(0, len(pool), 5000)])
         hardest = [pool[i] for i in np.argsort(-rated)[:1500]]
         negative = list(dict.fromkeys(negative + hardest[::-1]))
     model = Model(table, bias, 1.0, 0.0)
-    cache: dict[str, float] = {}
-    margin = np.array([np.log(p / (1 - p)) for p in np.clip(model.scores(texts, cache), 1e-12, 1 - 1e-12)])
+    margin = np.concatenate([model.margins(texts[i : i + 200], {}) for i in range(0, len(texts), 200)])
     model.slope, model.shift = logistic(margin, y)
     return model
 
