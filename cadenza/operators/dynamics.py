@@ -118,3 +118,43 @@ def instrument_bands(spectrum: DataFrame, most: int = 5, least: float = 0.15) ->
     kept = scored.withColumn("first", first).filter("first = 1")
     rank = F.row_number().over(Window.partitionBy("track").orderBy(F.desc(F.round("confidence", 9)), "ord"))
     return kept.withColumn("rank", rank).filter(F.col("rank") <= most).select("track", "rank", "instrument", "confidence")
+
+
+def tension_curve(series: DataFrame) -> DataFrame:
+    """Smoothed level over the track's highest, cut to 0..1, with its strict peaks and valleys."""
+    rows = smoothed(series)
+    top = F.max("s").over(Window.partitionBy("track"))
+    w = Window.partitionBy("track").orderBy("idx")
+    rows = rows.withColumn("tension", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide("s", top))), 9))
+    before, after = F.lag("tension").over(w), F.lead("tension").over(w)
+    kind = F.when((F.col("tension") > before) & (F.col("tension") > after), "peak").when((F.col("tension") < before) & (F.col("tension") < after), "valley")
+    return rows.select("track", "idx", "tension", kind.alias("kind"))
+
+
+def climax(series: DataFrame, distance: int = 5) -> DataFrame:
+    """Peaks of the smoothed level above mean + sd, of close ones the highest, and which is the main one."""
+    import numpy as np
+    import pandas as pd
+
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx")
+        s, idx = rows["s"].to_numpy(), rows["idx"].to_numpy()
+        high = s.mean() + s.std()
+        peaks = [i for i in range(1, len(s) - 1) if s[i - 1] < s[i] > s[i + 1] and s[i] > high]
+        kept: list[int] = []
+        for i in sorted(peaks, key=lambda i: (-s[i], i)):
+            if all(abs(idx[i] - idx[j]) >= distance for j in kept):
+                kept.append(i)
+        kept.sort()
+        best = max(kept, key=lambda i: s[i], default=-1)
+        return pd.DataFrame({"track": rows["track"].iloc[0], "idx": idx[kept].astype(np.int64), "intensity": s[kept] / s.max(), "main": [i == best for i in kept]})
+
+    kind = dict(series.dtypes)["track"]
+    return smoothed(series).groupBy("track").applyInPandas(pick, f"track {kind}, idx long, intensity double, main boolean")
+
+
+def texture(series: DataFrame) -> DataFrame:
+    """Fullness, evenness and activity of a level series."""
+    rows = series.groupBy("track").agg(F.avg("rms").alias("mean"), F.stddev_pop("rms").alias("sd"), F.max("rms").alias("top"))
+    scaled = F.try_divide("mean", "top")
+    return rows.select("track", F.least(F.lit(1.0), scaled * 10).alias("fullness"), (1 - scaled).alias("smoothness"), F.least(F.lit(1.0), F.try_divide("sd", "mean")).alias("activity"))

@@ -182,3 +182,35 @@ def modulation_windows(frames: DataFrame, size: int = 16, step: int = 8) -> Data
     name = F.concat_ws(" ", "key", "mode")
     rows = best.withColumn("to_key", name).withColumn("from_key", F.lag(name).over(w))
     return rows.filter("from_key <> to_key").select("track", "window", "from_key", "to_key", F.col("r").alias("r"))
+
+
+def key_hints(hints: DataFrame) -> DataFrame:
+    """Key and mode of written hints (track, hint), null where none is meant."""
+    common = ["C", "G", "D", "A", "E", "B", "F#", "Db", "Ab", "Eb", "Bb", "F"]
+    rows = []
+    for note_name in [*common, *[n for n in K.NOTES if n not in common]]:
+        low = note_name.lower()
+        rows += [(low + s, note_name, "Major") for s in ("", "major", "maj")] + [(low + s, note_name, "Minor") for s in ("minor", "min", "m", "-minor", "-min", "-m")]
+    table = fixed(hints, rows, "norm string, key string, mode string")
+    norm = F.replace(F.replace(F.replace(F.lower("hint"), F.lit(" "), F.lit("")), F.lit("♭"), F.lit("b")), F.lit("♯"), F.lit("#"))
+    return hints.withColumn("norm", norm).join(table, "norm", "left").select("track", "hint", "key", "mode")
+
+
+def sophistication(melody: DataFrame, harmony: DataFrame) -> DataFrame:
+    """Balance, overall complexity and sophistication of tracks from their melody and harmony measures.
+
+    ``melody``: track, h (the harmony's track), contour, variety, octaves, coverage;
+    ``harmony``: h, complexity, consonance, rate, key_confidence (0 to 1).
+    """
+    rows = melody.join(harmony, "h")
+    low, high = F.least("contour", "complexity"), F.greatest("contour", "complexity")
+    balance = F.coalesce(F.try_divide(low, high), F.lit(0.5))
+    overall = F.least(F.lit(1.0), F.col("contour") * 0.4 + F.col("complexity") * 0.4 + F.col("variety") * 0.2)
+    terms = (
+        F.col("octaves") * 0.15 + F.col("contour") * 0.2 + F.col("variety") * 0.15 + F.col("complexity") * 0.2
+        + F.abs(0.5 - F.col("consonance")) * 0.1 + F.least(F.lit(1.0), F.col("rate") / 5) * 0.1 + F.col("key_confidence") * 0.1
+    )
+    poor = (F.col("coverage") < 0.3) | (F.col("key_confidence") < 0.3)
+    full = F.least(F.lit(1.0), terms * F.least(F.lit(1.0), (F.col("coverage") + F.col("key_confidence")) / 2))
+    score = F.when(poor, F.least(F.lit(0.3), F.col("coverage") * F.col("key_confidence"))).otherwise(full)
+    return rows.select("track", balance.alias("balance"), overall.alias("overall"), score.alias("sophistication"))

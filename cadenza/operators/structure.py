@@ -166,3 +166,61 @@ def form(sections: DataFrame) -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "letter"))), lambda x: x["letter"]), "")  # sections of one track
     found = rows.groupBy("track").agg(text.alias("form"), F.count_distinct("type").alias("n_types"), F.count("*").alias("n"))
     return found.select("track", "form", "n_types", "n", (1 - F.col("n_types") / F.col("n")).alias("repetition"))
+
+
+def context_fold(sections: DataFrame) -> DataFrame:
+    """Refine base labels in order, where a rule looks at the label just given to the section before.
+
+    ``sections``: track, seq, base, energy, complexity, harmonic.  The fold runs over the
+    sections of one track (some dozens) inside one expression.
+    """
+    row = F.struct("seq", "base", "energy", "complexity", "harmonic")
+    rows = sections.groupBy("track").agg(F.array_sort(F.collect_list(row)).alias("c"))
+    zero = F.struct(F.lit("").alias("label"), F.lit(0.0).alias("energy"), F.lit(0.0).alias("complexity"), F.array().cast("array<struct<seq:bigint,label:string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        e, c, h, base = x["energy"], x["complexity"], x["harmonic"], x["base"]
+        first = x["seq"] == 0
+        rising = (e > acc["energy"] * 1.5) | ((e > acc["energy"] * 1.1) & (c > acc["complexity"] * 1.05))
+        again = (base == "pre_chorus") | ((base == "verse") & (e > 0.5) & (c > 0.6))
+        label = (
+            F.when(first & (e < 0.4), "intro")
+            .when(~first & rising & base.isin("verse", "bridge"), "pre_chorus")
+            .when(~first & (acc["label"] == "pre_chorus") & again, F.when(e > 0.6, "chorus").otherwise("verse"))
+            .when((base == "bridge") & ((c < 0.6) | (h < 0.3)), "verse")
+            .otherwise(base)
+        )
+        one = F.array(F.struct(x["seq"].cast("long").alias("seq"), label.alias("label")))
+        return F.struct(label.alias("label"), e.alias("energy"), c.alias("complexity"), F.concat(acc["out"], one).alias("out"))
+
+    return rows.select("track", F.inline(F.aggregate("c", zero, step, lambda acc: acc["out"])))
+
+
+def pairing(sections: DataFrame) -> DataFrame:
+    """A pre-chorus needs a next section 1.3 times as strong; a chorus between much weaker ones of low complexity is a verse."""
+    w = Window.partitionBy("track").orderBy("seq")
+    e, before, after = F.col("energy"), F.coalesce(F.lag("energy").over(w), F.lit(0.0)), F.lead("energy").over(w)
+    pre = F.when(after.isNull() | (after > e * 1.3), "pre_chorus").otherwise("verse")
+    alone = (e > 0.6) & (before < e * 0.7) & (F.coalesce(after, F.lit(0.0)) < e * 0.7) & (F.col("complexity") < 0.6)
+    label = F.when(F.col("base") == "pre_chorus", pre).when((F.col("base") == "chorus") & alone, "verse").otherwise(F.col("base"))
+    return sections.select("track", "seq", "base", label.alias("label"))
+
+
+def drop_choruses(sections: DataFrame, modulations: DataFrame) -> DataFrame:
+    """Choruses that are quiet, or quieter than the track by a deviation at a change of key.
+
+    ``sections``: track, seq, t, type, level (dB); ``modulations``: track, t, shift in semitones.
+    A modulation falls in at most one section: a backward match, not a range join.
+    """
+    from cadenza.operators.series import backward
+
+    held = backward(modulations, sections.select("track", "t")).filter("right_t is not null")
+    first = held.groupBy("track", F.col("right_t").alias("t")).agg(F.min(F.struct(F.col("t").alias("at"), "shift")).alias("m"))
+    stats = sections.groupBy("track").agg(F.avg("level").alias("mean"), F.stddev_pop("level").alias("sd"), F.count("*").alias("n"))
+    rows = sections.join(first, ["track", "t"], "left").join(stats, "track")
+    raw = F.pmod(F.col("m.shift"), F.lit(12))
+    shift = F.coalesce(F.when(raw > 6, raw - 12).otherwise(raw), F.lit(0))
+    z = F.when((F.col("n") < 2) | (F.col("sd") == 0), 0.0).otherwise((F.col("level") - F.col("mean")) / F.col("sd"))
+    moved = shift != 0
+    drop = (F.col("type") == "chorus") & ((F.col("level") <= -50) | (moved & ((F.col("level") <= -20) | (z < -1))))
+    return rows.select("track", "seq", "type", F.when(drop, "drop_chorus").otherwise(F.col("type")).alias("label"), shift.cast("long").alias("shift"), z.alias("z"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import chords, keys, rhythm, sound, structures
+from cadenza.plans import chords, keys, more, rhythm, sound, structures
 
-FAMILIES = [keys, chords, rhythm, sound, structures]
+FAMILIES = [keys, chords, rhythm, sound, structures, more]
 
 
 def queries() -> dict:
