@@ -29,13 +29,14 @@ def hop_windows(df: DataFrame, index: str, size: int, step: int, track: str) ->
 def nearest(left: DataFrame, right: DataFrame, track: str = "track", at: str = "t") -> DataFrame:
     """Left rows with right_t, the nearest time of ``right`` in the track; of two as near the earlier.
 
-    One sorted pass: both sides meet in one series, and each left row looks at the
-    last right time before it and the first after it.
+    Both sides meet in one series; one pass in each direction carries the last right
+    time seen (a frame that grows from the first row is linear, one that shrinks is not).
     """
     both = left.withColumn("_r", F.lit(None).cast("double")).unionByName(right.select(track, at).withColumn("_r", F.col(at)), allowMissingColumns=True)
     w = Window.partitionBy(track).orderBy(at, F.col("_r").isNull())
     both = both.withColumn("_back", F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_next", F.first("_r", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    down = Window.partitionBy(track).orderBy(F.desc(at), F.col("_r").isNull())
+    both = both.withColumn("_next", F.last("_r", True).over(down.rowsBetween(Window.unboundedPreceding, 0)))
     back, ahead = F.col(at) - F.col("_back"), F.col("_next") - F.col(at)
     right_t = F.when(F.col("_next").isNull() | (back <= ahead), F.col("_back")).otherwise(F.col("_next"))
     return both.filter("_r is null").withColumn("right_t", right_t).drop("_r", "_back", "_next")

@@ -113,3 +113,10 @@ def test_components_are_uncorrelated(spark):
     df = spark.createDataFrame([(i, (rng.normal(size=5) * [5, 3, 1, 1, 1]).tolist()) for i in range(200)], "vec_id long, v array<double>")
     x = np.array([r["scores"] for r in similarity.principal_components(df, 2).collect()])
     assert abs(np.corrcoef(x.T)[0, 1]) < 1e-6 and x[:, 0].std() > x[:, 1].std()
+
+
+def test_many_targets_agree_with_few(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(60)], "vec_id long, v array<double>")
+    one, many = (sorted(map(tuple, similarity.top_k(df, df, similarity.cosine, 3, few).select("target", "rank", "vec_id").collect())) for few in (1000, 7))
+    assert one == many and len(one) == 180
