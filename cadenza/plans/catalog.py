@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import chords, keys, more, rhythm, sound, structures
+from cadenza.plans import chords, keys, more, rhythm, sound, structures, vectors
 
-FAMILIES = [keys, chords, rhythm, sound, structures, more]
+FAMILIES = [keys, chords, rhythm, sound, structures, more, vectors]
 
 
 def queries() -> dict:
