@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +17,9 @@ from cadenza.operators.series import hop_windows
 
 
 def fixed(df: DataFrame, rows: list, schema: str) -> DataFrame:
-    """A small constant table, broadcast."""
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+    """A small constant table, broadcast; from pandas it is a local relation of the plan."""
+    names = [part.split()[0] for part in schema.split(",")]
+    return F.broadcast(df.sparkSession.createDataFrame(pd.DataFrame(rows, columns=names), schema))
 
 
 def chroma_mean(frames: DataFrame, *by: str) -> DataFrame:
