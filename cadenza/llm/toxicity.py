@@ -46,6 +46,7 @@ LANDMARKS = 384
 SPOILED = 300  # toxic words that are also learned with a character inserted
 POOL = 100_000  # clean words, the most frequent, among which hard negatives are sought
 ROUNDS = 3  # of adding the clean words that score highest
+CACHE_WORDS = 150_000  # words whose margins a task remembers
 THRESHOLD = 0.7
 EDGES = " \t.,;:!?\"'()[]{}<>«»“”„…|*#&%$-_"
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")  # words written letter by letter
@@ -162,7 +163,7 @@ class Model:
     def margins(self, texts: list[str | None], cache: dict[str, float]) -> np.ndarray:
         """Of each text the margin of its most toxic unit; ``cache`` keeps those of words seen before."""
         found = [units(t or "") for t in texts]
-        if len(cache) > 400_000:
+        if len(cache) > CACHE_WORDS:
             cache.clear()
         new = list(set().union(*found).difference(cache)) if found else []
         cache.update(zip(new, self.words(new).tolist(), strict=True))
