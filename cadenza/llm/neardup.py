@@ -214,23 +214,33 @@ def unsigned_hex(fp: str) -> F.Column:
 SIMILARITY = 0.8
 SEARCH_RADIUS = 24  # bits; texts that share 0.8 of their shingles lie about 10 apart
 SKETCH = 128
+DOUBT = (0.12, 0.10)  # estimates so far below or above the similarity are settled exactly (three standard errors)
 BANDS, BAND = 14, 4  # a pair at 0.8 shares a band of minima with probability 0.9994
 
 
+def shingle_hashes(text: str | None, words_per_shingle: int) -> np.ndarray:
+    """32-bit hashes of the distinct shingles of a text; a text of fewer words is one shingle."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    shingles = {b" ".join(words[i : i + words_per_shingle]) for i in range(max(1, len(words) - words_per_shingle + 1))}
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(s, 1) for s in shingles), np.uint32, len(shingles)))
+
+
 def sketch(text: str | None, words_per_shingle: int) -> tuple[int, np.ndarray]:
     """A digest of the text and SKETCH minima of its hashed shingles (uint32)."""
     import xxhash
 
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    words = raw.lower().split()
-    shingles = {b" ".join(words[i : i + words_per_shingle]) for i in range(max(1, len(words) - words_per_shingle + 1))}
-    hashes = np.fromiter((xxhash.xxh32_intdigest(s, 1) for s in shingles), np.uint32, len(shingles))
-    odd = np.random.default_rng(42).integers(0, 1 << 31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    hashes = shingle_hashes(text, words_per_shingle)
+    salt = np.random.default_rng(42).integers(0, 1 << 32, SKETCH, dtype=np.uint32)
     low = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(hashes), 2048):
-        mixed = hashes[at : at + 2048, None] * odd
-        low = np.minimum(low, (mixed ^ (mixed >> np.uint32(15))).min(axis=0))
-    return xxhash.xxh64_intdigest(raw, 42), low
+    for at in range(0, len(hashes), 1024):  # two rounds of mixing, or the minima would depend on each other
+        mixed = (hashes[at : at + 1024, None] ^ salt) * np.uint32(0x85EBCA6B)
+        mixed ^= mixed >> np.uint32(13)
+        mixed *= np.uint32(0xC2B2AE35)
+        mixed ^= mixed >> np.uint32(16)
+        low = np.minimum(low, mixed.min(axis=0))
+    return xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), 42), low
 
 
 def sketches(docs: DataFrame, words_per_shingle: int = SHINGLE) -> DataFrame:
@@ -255,18 +265,18 @@ def sketches(docs: DataFrame, words_per_shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def gathered(fps: np.ndarray, marks: np.ndarray, similarity: float) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links of each member to the similar leaders before it, and the leaders: members without such.
+def gathered(fps: np.ndarray, marks: np.ndarray, similarity: float) -> tuple[list[tuple[int, int, bool]], list[int]]:
+    """Candidate links (member, leader, whether sure) and the leaders: members without a similar leader before them.
 
     Leaders stand in a BK-tree; a search follows edges within SEARCH_RADIUS, and the
-    share of equal minima decides.
+    share of equal minima estimates the resemblance.
     """
-    links: list[tuple[int, int]] = []
+    links: list[tuple[int, int, bool]] = []
     leaders: list[int] = []
     children: dict[int, dict[int, int]] = {}
     chance = 1 / 256
     for i, fp in enumerate(fps.tolist()):
-        near, todo = [], leaders[:1]
+        near, todo, led = [], leaders[:1], False
         while todo:
             node = todo.pop()
             far = (fp ^ int(fps[node])).bit_count()
@@ -274,10 +284,10 @@ def gathered(fps: np.ndarray, marks: np.ndarray, similarity: float) -> tuple[lis
                 near.append(node)
             todo.extend(c for edge, c in children[node].items() if abs(edge - far) <= SEARCH_RADIUS)
         if near:
-            same = (marks[near] == marks[i]).mean(axis=1)
-            near = [n for n, s in zip(near, same, strict=True) if (s - chance) / (1 - chance) >= similarity]
-        if near:
-            links.extend((i, n) for n in near)
+            alike = ((marks[near] == marks[i]).mean(axis=1) - chance) / (1 - chance)
+            links.extend((i, n, bool(s >= similarity + DOUBT[1])) for n, s in zip(near, alike, strict=True) if s >= similarity - DOUBT[0])
+            led = bool((alike >= similarity).any())
+        if led:
             continue
         if leaders:  # insert below the root
             node = leaders[0]
@@ -290,20 +300,20 @@ def gathered(fps: np.ndarray, marks: np.ndarray, similarity: float) -> tuple[lis
 
 
 def _led(members: DataFrame, similarity: float) -> DataFrame:
-    """Groups by (t, key, part): rows (u, v) of links; v is null for leaders, which keep fp and mark."""
-    schema = "t int, key long, u long, v long, fp long, mark binary"
+    """Groups by (t, key, part): rows (u, v, sure) of candidate links, and (u, null, null) of leaders."""
+    schema = "t int, key long, u long, v long, sure boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(key: tuple, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             rows = pa.Table.from_batches(parts)
             node, fp, mark = (rows[c].to_pylist() for c in ("node", "fp", "mark"))
             links, leaders = gathered(np.array(fp, np.int64).view(np.uint64), np.frombuffer(b"".join(mark), np.uint8).reshape(-1, SKETCH), similarity)
-            u = [node[a] for a, _ in links] + [node[a] for a in leaders]
-            v = [node[b] for _, b in links] + [None] * len(leaders)
-            none = [None] * len(links)
-            out = [pa.array([key[0]] * len(u), pa.int32()), pa.array([key[1]] * len(u), pa.int64()), pa.array(u, pa.int64()), pa.array(v, pa.int64())]
-            kept = [pa.array(none + [fp[a] for a in leaders], pa.int64()), pa.array(none + [mark[a] for a in leaders], pa.binary())]
-            return pa.RecordBatch.from_arrays(out + kept, names=["t", "key", "u", "v", "fp", "mark"])
+            u = [node[a] for a, _, _ in links] + [node[a] for a in leaders]
+            v = [node[b] for _, b, _ in links] + [None] * len(leaders)
+            sure = [x for _, _, x in links] + [None] * len(leaders)
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            columns = ([key[0]] * len(u), [key[1]] * len(u), u, v, sure)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["t", "key", "u", "v", "sure"])
 
         key, held = None, []
         for batch in batches:
@@ -324,14 +334,39 @@ def _led(members: DataFrame, similarity: float) -> DataFrame:
     return members.repartition(*group).sortWithinPartitions(*group, "node").mapInArrow(run, schema)
 
 
+def shingle_sets(docs: DataFrame, nodes: DataFrame, words_per_shingle: int) -> DataFrame:
+    """node and its distinct shingles (32-bit hashes), one row for each of ``nodes``."""
+    digest = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))  # the digest that ``sketch`` gives
+    texts = docs.select(digest.alias("node"), F.col("text").cast("string").alias("text")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(t, words_per_shingle).view(np.int32) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles array<int>")
+
+
+def settled(docs: DataFrame, pairs: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose texts share at least ``similarity`` of their shingles, counted exactly."""
+    pairs = materialise(pairs, "doubtful")
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = materialise(shingle_sets(docs, nodes, words_per_shingle), "shingles")
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "uv")
+    both = F.size(F.array_intersect("su", "sv"))
+    share = both / (F.size("su") + F.size("sv") - both)
+    return pairs.join(left, "u").join(right, "v").filter(share >= similarity - 1e-9).select("u", "v")
+
+
 def similar_documents(docs: DataFrame, words_per_shingle: int = SHINGLE, similarity: float = SIMILARITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id and component_id (the smallest id) by shared word shingles, per row.
 
     Shards of the BK-trees are texts that share a band of minima.  Members of a shard
     are compared with its leaders only; a shard beyond ``shard_rows`` is led in parts
     first, then the leaders of its parts are led together, round by round while that
-    makes them fewer.  The share of SKETCH equal minima stands for the resemblance
-    (standard error 0.035 at 0.8).  Equal texts always belong together.
+    makes them fewer.  SKETCH minima estimate the resemblance (standard error 0.035 at
+    0.8); pairs whose estimate is in doubt are counted exactly.  Equal texts always
+    belong together.
     """
     marked = materialise(sketches(docs, words_per_shingle), "sketches")
     classes = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("mark").alias("mark"))
@@ -344,7 +379,7 @@ def similar_documents(docs: DataFrame, words_per_shingle: int = SHINGLE, similar
         parts = F.ceil(F.col("n") / F.lit(shard_rows)).cast("int")
         shards = members.join(sizes, ["t", "key"]).select("node", "t", "key", F.pmod(F.xxhash64("node", F.lit(before or 0)), parts).alias("part"), (parts > 1).alias("split"))
         led = materialise(_led(shards.join(classes.select("node", "fp", "mark"), "node"), similarity), "led")
-        links = led.filter("v is not null").select("u", "v")
+        links = led.filter("v is not null").select("u", "v", "sure")
         found = links if found is None else found.unionByName(links)
         again = shards.filter("split").select("t", "key").distinct()
         members = materialise(led.filter("v is null").join(again, ["t", "key"]).select(F.col("u").alias("node"), "t", "key"), "leaders")
@@ -352,7 +387,9 @@ def similar_documents(docs: DataFrame, words_per_shingle: int = SHINGLE, similar
         if not left or left == before:
             break
         before = left
-    roots = components(found.distinct())
+    pairs = materialise(found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("sure").alias("sure")), "pairs")
+    doubtful = settled(docs, pairs.filter("not sure").select("u", "v"), words_per_shingle, similarity)
+    roots = components(pairs.filter("sure").select("u", "v").unionByName(doubtful))
     grouped = classes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return marked.select("doc_id", "node").join(grouped.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -218,6 +218,26 @@ def test_similar_documents(spark):
     assert sorted({r["doc_id"] for r in neardup.keep_one(docs, neardup.similar_documents(docs)).collect()}) == [*range(12), 18]
 
 
+def test_resemblance_near_the_threshold(spark):
+    rng = random.Random(13)
+    rows = []
+    for _ in range(60):  # pairs with resemblances around 0.8
+        w = words(rng, 220).split()
+        rows.append(" ".join(w))
+        for _ in range(rng.randint(3, 6)):
+            w[rng.randrange(len(w))] = f"q{rng.randrange(10**6)}"
+        rows.append(" ".join(w))
+
+    def shingles(t):
+        w = t.split()
+        return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    share = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in zip(rows[::2], rows[1::2], strict=True)]
+    assert 5 < sum(s >= 0.8 for s in share) < 55
+    found = {r["doc_id"]: r["component_id"] for r in neardup.similar_documents(documents(spark, rows)).collect()}
+    assert [found[2 * i + 1] == 2 * i for i in range(60)] == [s >= 0.8 for s in share]
+
+
 # 6 extraction ---------------------------------------------------------------------------
 
 PAGE = """<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/x>Menu</a></li><li>More</li></ul></nav><div class="cookie-notice">We use cookies</div>
