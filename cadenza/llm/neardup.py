@@ -23,6 +23,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -265,61 +266,54 @@ def sketches(docs: DataFrame, words_per_shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def gathered(fps: np.ndarray, marks: np.ndarray, similarity: float) -> tuple[list[tuple[int, int, bool]], list[int]]:
-    """Candidate links (member, leader, whether sure) and the leaders: members without a similar leader before them.
+def candidates(fps: np.ndarray, marks: np.ndarray, roots: np.ndarray, similarity: float, most: int) -> tuple[list[tuple[int, int, bool]], list[int], bool]:
+    """Candidate pairs of a shard, its leaders, and whether some member has further candidates.
 
-    Leaders stand in a BK-tree; a search follows edges within SEARCH_RADIUS, and the
-    share of equal minima estimates the resemblance.
+    All members stand in a BK-tree and all are searched for at once, following edges
+    within SEARCH_RADIUS; the share of equal minima estimates the resemblance.  Each
+    member names its ``most`` best candidates with another root.  Every member is a
+    leader or resembles one.
     """
-    links: list[tuple[int, int, bool]] = []
+    pairs: set[tuple[int, int, bool]] = set()
     leaders: list[int] = []
-    children: dict[int, dict[int, int]] = {}
-    chance = 1 / 256
-    for i, fp in enumerate(fps.tolist()):
-        near, todo, led = [], leaders[:1], False
-        while todo:
-            node = todo.pop()
-            far = (fp ^ int(fps[node])).bit_count()
-            if far <= SEARCH_RADIUS:
-                near.append(node)
-            todo.extend(c for edge, c in children[node].items() if abs(edge - far) <= SEARCH_RADIUS)
-        if near:
-            alike = ((marks[near] == marks[i]).mean(axis=1) - chance) / (1 - chance)
-            links.extend((i, n, bool(s >= similarity + DOUBT[1])) for n, s in zip(near, alike, strict=True) if s >= similarity - DOUBT[0])
-            led = bool((alike >= similarity).any())
-        if led:
-            continue
-        if leaders:  # insert below the root
-            node = leaders[0]
-            while (far := (fp ^ int(fps[node])).bit_count()) in children[node]:
-                node = children[node][far]
-            children[node][far] = i
-        leaders.append(i)
-        children[i] = {}
-    return links, leaders
-
-
-def _led(members: DataFrame, similarity: float) -> DataFrame:
-    """Groups by (t, key, part): rows (u, v, sure) of candidate links, and (u, null, null) of leaders."""
-    schema = "t int, key long, u long, v long, sure boolean"
+    led = np.zeros(len(fps), bool)
+    chance, more = 1 / 256, False
+    for node, near in BKTree(fps).within(fps, SEARCH_RADIUS):
+        alike = (np.count_nonzero(marks[near] == marks[node], axis=1) / SKETCH - chance) / (1 - chance)
+        if not led[node]:
+            leaders.append(node)
+            led[near[alike >= similarity]] = True
+        open_ = (alike >= similarity - DOUBT[0]) & (roots[near] != roots[node])
+        near, alike = near[open_], alike[open_]
+        more |= len(near) > most
+        for i in np.lexsort((near, -alike))[:most].tolist():
+            other = int(near[i])
+            pairs.add((min(node, other), max(node, other), bool(alike[i] >= similarity + DOUBT[1])))
+    return sorted(pairs), leaders, more
+
+
+def paired(members: DataFrame, similarity: float, most: int) -> DataFrame:
+    """Of each shard (level, t, key, part): its candidate pairs as rows (u, v, sure), its
+    leaders as rows (u, null, null), and, if it has further candidates, a row of nulls."""
+    group = ["level", "t", "key", "part"]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    schema = "level int, t int, key long, part long, u long, v long, sure boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(key: tuple, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             rows = pa.Table.from_batches(parts)
-            node, fp, mark = (rows[c].to_pylist() for c in ("node", "fp", "mark"))
-            links, leaders = gathered(np.array(fp, np.int64).view(np.uint64), np.frombuffer(b"".join(mark), np.uint8).reshape(-1, SKETCH), similarity)
-            u = [node[a] for a, _, _ in links] + [node[a] for a in leaders]
-            v = [node[b] for _, b, _ in links] + [None] * len(leaders)
-            sure = [x for _, _, x in links] + [None] * len(leaders)
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            columns = ([key[0]] * len(u), [key[1]] * len(u), u, v, sure)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["t", "key", "u", "v", "sure"])
+            node, fps, roots = (rows[c].to_numpy() for c in ("node", "fp", "root"))
+            marks = np.frombuffer(b"".join(rows["mark"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+            pairs, leaders, more = candidates(fps.view(np.uint64), marks, roots, similarity, most)
+            out = [(int(node[a]), int(node[b]), sure) for a, b, sure in pairs] + [(int(node[i]), None, None) for i in leaders] + [(None, None, None)] * more
+            columns = [*([k] * len(out) for k in key), *map(list, zip(*out, strict=True))]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[*group, "u", "v", "sure"])
 
         key, held = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("t", "key", "part")], axis=1)
+            ids = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in group], axis=1)
             cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
                 if (now := tuple(ids[a].tolist())) != key:
@@ -330,7 +324,6 @@ def _led(members: DataFrame, similarity: float) -> DataFrame:
         if key is not None:
             yield solved(key, held)
 
-    group = ["t", "key", "part"]
     return members.repartition(*group).sortWithinPartitions(*group, "node").mapInArrow(run, schema)
 
 
@@ -347,11 +340,8 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words_per_shingle: int) -> D
     return texts.mapInArrow(run, "node long, shingles array<int>")
 
 
-def settled(docs: DataFrame, pairs: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame:
+def settled(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose texts share at least ``similarity`` of their shingles, counted exactly."""
-    pairs = materialise(pairs, "doubtful")
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = materialise(shingle_sets(docs, nodes, words_per_shingle), "shingles")
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "uv")
     both = F.size(F.array_intersect("su", "sv"))
     share = both / (F.size("su") + F.size("sv") - both)
@@ -361,35 +351,58 @@ def settled(docs: DataFrame, pairs: DataFrame, words_per_shingle: int, similarit
 def similar_documents(docs: DataFrame, words_per_shingle: int = SHINGLE, similarity: float = SIMILARITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id and component_id (the smallest id) by shared word shingles, per row.
 
-    Shards of the BK-trees are texts that share a band of minima.  Members of a shard
-    are compared with its leaders only; a shard beyond ``shard_rows`` is led in parts
-    first, then the leaders of its parts are led together, round by round while that
-    makes them fewer.  SKETCH minima estimate the resemblance (standard error 0.035 at
-    0.8); pairs whose estimate is in doubt are counted exactly.  Equal texts always
-    belong together.
+    Shards of the BK-trees are texts that share a band of minima.  SKETCH minima
+    estimate the resemblance (standard error 0.035 at 0.8); pairs whose estimate is in
+    doubt are counted exactly.  In the first round each member of a shard names its best
+    candidate; in later rounds, where a shard has further candidates in components that
+    are still apart, sixteen times as many as before, until there are none.  So pairs
+    stay few, and no candidate that could join two components is left out.  A shard
+    beyond ``shard_rows`` is searched in parts, then the leaders of its parts together,
+    level by level while that makes them fewer.  Equal texts always belong together.
     """
     marked = materialise(sketches(docs, words_per_shingle), "sketches")
     classes = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("mark").alias("mark"))
     classes = materialise(classes, "sketch-classes")
-    members = classes.select("node", F.posexplode("keys").alias("t", "key"))
-    found: DataFrame | None = None
-    before = None
+    group = ["level", "t", "key", "part"]
+    every: list[tuple[DataFrame, DataFrame]] = []  # of each level the shards and what they gave
+    members, before = classes.select("node", F.posexplode("keys").alias("t", "key")), None
     while True:
         sizes = members.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
         parts = F.ceil(F.col("n") / F.lit(shard_rows)).cast("int")
-        shards = members.join(sizes, ["t", "key"]).select("node", "t", "key", F.pmod(F.xxhash64("node", F.lit(before or 0)), parts).alias("part"), (parts > 1).alias("split"))
-        led = materialise(_led(shards.join(classes.select("node", "fp", "mark"), "node"), similarity), "led")
-        links = led.filter("v is not null").select("u", "v", "sure")
-        found = links if found is None else found.unionByName(links)
+        level, part = F.lit(len(every)), F.pmod(F.xxhash64("node", F.lit(before or 0)), parts)
+        shards = materialise(members.join(sizes, ["t", "key"]).select("node", level.alias("level"), "t", "key", part.alias("part"), (parts > 1).alias("split")), "shards")
+        found = materialise(paired(shards.join(classes.select("node", "fp", "mark", F.col("node").alias("root")), "node"), similarity, 1), "pairs")
+        every.append((shards, found))
         again = shards.filter("split").select("t", "key").distinct()
-        members = materialise(led.filter("v is null").join(again, ["t", "key"]).select(F.col("u").alias("node"), "t", "key"), "leaders")
+        members = materialise(found.filter("u is not null and v is null").join(again, ["t", "key"]).select(F.col("u").alias("node"), "t", "key"), "leaders")
         left = members.count()
         if not left or left == before:
             break
         before = left
-    pairs = materialise(found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("sure").alias("sure")), "pairs")
-    doubtful = settled(docs, pairs.filter("not sure").select("u", "v"), words_per_shingle, similarity)
-    roots = components(pairs.filter("sure").select("u", "v").unionByName(doubtful))
+    shards, found = (reduce(DataFrame.unionByName, x) for x in zip(*every, strict=True))
+
+    def distinct_pairs(found: DataFrame) -> DataFrame:
+        return found.filter("v is not null").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("sure").alias("sure"))
+
+    pairs = materialise(distinct_pairs(found), "pairs")
+    further = materialise(found.filter("u is null").select(*group).distinct(), "further")
+    # every later candidate is a member of these shards
+    doubtful = pairs.filter("not sure").select(F.explode(F.array("u", "v")).alias("node"))
+    nodes = doubtful.unionByName(shards.join(further, group, "left_semi").select("node")).distinct()
+    sets = materialise(shingle_sets(docs, nodes, words_per_shingle), "shingles")
+    most, tested, edges = 1, pairs, None
+    while True:
+        joined = materialise(pairs.filter("sure").select("u", "v").unionByName(settled(pairs.filter("not sure"), sets, similarity)), "joined")
+        edges = joined if edges is None else edges.unionByName(joined)
+        roots = components(edges)
+        if not further.head(1):
+            break
+        most *= 16
+        rest = shards.join(further, group, "left_semi").join(classes.select("node", "fp", "mark"), "node").join(roots, "node", "left")
+        found = materialise(paired(rest.withColumn("root", F.coalesce("root", "node")), similarity, most), "pairs")
+        pairs = materialise(distinct_pairs(found).join(tested, ["u", "v"], "left_anti"), "pairs")
+        tested = tested.unionByName(pairs)
+        further = materialise(found.filter("u is null").select(*group).distinct(), "further")
     grouped = classes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return marked.select("doc_id", "node").join(grouped.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -238,6 +238,21 @@ def test_resemblance_near_the_threshold(spark):
     assert [found[2 * i + 1] == 2 * i for i in range(60)] == [s >= 0.8 for s in share]
 
 
+def test_group_near_the_threshold_equals_single_linkage(spark):
+    rng = random.Random(14)
+    base, rows = words(rng, 150).split(), []
+    for i in range(90):  # every pair of them is near the similarity
+        w = list(base)
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(len(w))] = f"q{i}x{rng.randrange(10**6)}"
+        rows.append(" ".join(w))
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in rows]
+    wanted = roots(len(rows), lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8)
+    assert 1 < len(set(wanted)) < len(rows)
+    found = {r["doc_id"]: r["component_id"] for r in neardup.similar_documents(documents(spark, rows)).collect()}
+    assert [found[i] for i in range(len(rows))] == list(wanted)
+
+
 # 6 extraction ---------------------------------------------------------------------------
 
 PAGE = """<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/x>Menu</a></li><li>More</li></ul></nav><div class="cookie-notice">We use cookies</div>
