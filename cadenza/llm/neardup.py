@@ -214,8 +214,8 @@ def unsigned_hex(fp: str) -> F.Column:
 
 SIMILARITY = 0.8
 SEARCH_RADIUS = 24  # bits; texts that share 0.8 of their shingles lie about 10 apart
-SKETCH = 128
-DOUBT = (0.12, 0.10)  # estimates so far below or above the similarity are settled exactly (three standard errors)
+SKETCH = 256
+DOUBT = (0.085, 0.075)  # estimates so far below or above the similarity are settled exactly (three standard errors)
 BANDS, BAND = 14, 4  # a pair at 0.8 shares a band of minima with probability 0.9994
 
 
@@ -266,15 +266,17 @@ def sketches(docs: DataFrame, words_per_shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def candidates(fps: np.ndarray, marks: np.ndarray, roots: np.ndarray, similarity: float, most: int) -> tuple[list[tuple[int, int, bool]], list[int], bool]:
-    """Candidate pairs of a shard, its leaders, and whether some member has further candidates.
+def candidates(fps: np.ndarray, marks: np.ndarray, roots: np.ndarray, owned_before: np.ndarray, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, list[int], bool]:
+    """Candidate pairs of a shard (rows of two members), which are sure, its leaders, and
+    whether some member has further candidates.
 
     All members stand in a BK-tree and all are searched for at once, following edges
     within SEARCH_RADIUS; the share of equal minima estimates the resemblance.  Each
-    member names its ``most`` best candidates with another root.  Every member is a
-    leader or resembles one.
+    member names its ``most`` best candidates with another root.  Pairs that agree on a
+    column of ``owned_before`` (zeros agree with nothing) are left to the shard of that
+    column.  Every member is a leader or resembles one.
     """
-    pairs: set[tuple[int, int, bool]] = set()
+    found: list[np.ndarray] = []
     leaders: list[int] = []
     led = np.zeros(len(fps), bool)
     chance, more = 1 / 256, False
@@ -283,31 +285,45 @@ def candidates(fps: np.ndarray, marks: np.ndarray, roots: np.ndarray, similarity
         if not led[node]:
             leaders.append(node)
             led[near[alike >= similarity]] = True
-        open_ = (alike >= similarity - DOUBT[0]) & (roots[near] != roots[node])
-        near, alike = near[open_], alike[open_]
+        apart = (alike >= similarity - DOUBT[0]) & (roots[near] != roots[node])
+        near, alike = near[apart], alike[apart]
+        elsewhere = ((owned_before[near] == owned_before[node]) & (owned_before[node] != 0)).any(axis=1)
+        near, alike = near[~elsewhere], alike[~elsewhere]
         more |= len(near) > most
-        for i in np.lexsort((near, -alike))[:most].tolist():
-            other = int(near[i])
-            pairs.add((min(node, other), max(node, other), bool(alike[i] >= similarity + DOUBT[1])))
-    return sorted(pairs), leaders, more
+        best = np.lexsort((near, -alike))[:most]
+        found.append(np.stack([np.minimum(near[best], node), np.maximum(near[best], node), alike[best] >= similarity + DOUBT[1]], axis=1).astype(np.int64))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs[:, :2], pairs[:, 2] == 1, leaders, more
 
 
 def paired(members: DataFrame, similarity: float, most: int) -> DataFrame:
-    """Of each shard (level, t, key, part): its candidate pairs as rows (u, v, sure), its
-    leaders as rows (u, null, null), and, if it has further candidates, a row of nulls."""
+    """Of each shard (level, t, key, part): its candidate pairs as rows (u, v, sure), in the
+    first round of a split shard its leaders as rows (u, null, null), and, if it has
+    further candidates, a row of nulls.
+
+    ``whole`` has a bit for each band whose shard is not split: a pair is named by the
+    first such shard that holds both.
+    """
     group = ["level", "t", "key", "part"]
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64()]
     schema = "level int, t int, key long, part long, u long, v long, sure boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(key: tuple, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             rows = pa.Table.from_batches(parts)
-            node, fps, roots = (rows[c].to_numpy() for c in ("node", "fp", "root"))
+            node, fps, roots, whole = (rows[c].to_numpy() for c in ("node", "fp", "root", "whole"))
             marks = np.frombuffer(b"".join(rows["mark"].to_pylist()), np.uint8).reshape(-1, SKETCH)
-            pairs, leaders, more = candidates(fps.view(np.uint64), marks, roots, similarity, most)
-            out = [(int(node[a]), int(node[b]), sure) for a, b, sure in pairs] + [(int(node[i]), None, None) for i in leaders] + [(None, None, None)] * more
-            columns = [*([k] * len(out) for k in key), *map(list, zip(*out, strict=True))]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[*group, "u", "v", "sure"])
+            keys = rows["keys"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)[:, : key[1]]
+            before = np.where(whole[:, None] >> np.arange(key[1]) & 1, keys, 0)
+            pairs, sure, leaders, more = candidates(fps.view(np.uint64), marks, roots, before, similarity, most)
+            if most > 1 or not rows["split"][0].as_py():
+                leaders = []
+            zeros = np.zeros(len(leaders) + more, np.int64)
+            u, v = np.concatenate((node[pairs[:, 0]], node[leaders], zeros[:more])), np.concatenate((node[pairs[:, 1]], zeros))
+            at = np.arange(len(u))
+            out = [pa.array(np.full(len(u), k), t) for k, t in zip(key, types, strict=False)]
+            out += [pa.array(u, mask=at >= len(u) - more), pa.array(v, mask=at >= len(pairs)), pa.array(np.concatenate((sure, zeros == 1)), mask=at >= len(pairs))]
+            return pa.RecordBatch.from_arrays(out, names=[*group, "u", "v", "sure"])
 
         key, held = None, []
         for batch in batches:
@@ -355,7 +371,7 @@ def similar_documents(docs: DataFrame, words_per_shingle: int = SHINGLE, similar
     estimate the resemblance (standard error 0.035 at 0.8); pairs whose estimate is in
     doubt are counted exactly.  In the first round each member of a shard names its best
     candidate; in later rounds, where a shard has further candidates in components that
-    are still apart, sixteen times as many as before, until there are none.  So pairs
+    are still apart, 1,024 times as many as before, until there are none.  So pairs
     stay few, and no candidate that could join two components is left out.  A shard
     beyond ``shard_rows`` is searched in parts, then the leaders of its parts together,
     level by level while that makes them fewer.  Equal texts always belong together.
@@ -364,6 +380,12 @@ def similar_documents(docs: DataFrame, words_per_shingle: int = SHINGLE, similar
     classes = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("mark").alias("mark"))
     classes = materialise(classes, "sketch-classes")
     group = ["level", "t", "key", "part"]
+    whole: DataFrame | None = None
+
+    def with_marks(shards: DataFrame) -> DataFrame:
+        known = shards.join(classes.select("node", "fp", "keys", "mark"), "node").join(whole, "node", "left")
+        return known.withColumn("whole", F.coalesce("whole", F.lit(0)))
+
     every: list[tuple[DataFrame, DataFrame]] = []  # of each level the shards and what they gave
     members, before = classes.select("node", F.posexplode("keys").alias("t", "key")), None
     while True:
@@ -371,7 +393,9 @@ def similar_documents(docs: DataFrame, words_per_shingle: int = SHINGLE, similar
         parts = F.ceil(F.col("n") / F.lit(shard_rows)).cast("int")
         level, part = F.lit(len(every)), F.pmod(F.xxhash64("node", F.lit(before or 0)), parts)
         shards = materialise(members.join(sizes, ["t", "key"]).select("node", level.alias("level"), "t", "key", part.alias("part"), (parts > 1).alias("split")), "shards")
-        found = materialise(paired(shards.join(classes.select("node", "fp", "mark", F.col("node").alias("root")), "node"), similarity, 1), "pairs")
+        if whole is None:
+            whole = materialise(shards.filter("not split").groupBy("node").agg(F.bit_or(F.expr("shiftleft(1, t)")).alias("whole")), "whole")
+        found = materialise(paired(with_marks(shards).withColumn("root", F.col("node")), similarity, 1), "pairs")
         every.append((shards, found))
         again = shards.filter("split").select("t", "key").distinct()
         members = materialise(found.filter("u is not null and v is null").join(again, ["t", "key"]).select(F.col("u").alias("node"), "t", "key"), "leaders")
@@ -397,9 +421,9 @@ def similar_documents(docs: DataFrame, words_per_shingle: int = SHINGLE, similar
         roots = components(edges)
         if not further.head(1):
             break
-        most *= 16
-        rest = shards.join(further, group, "left_semi").join(classes.select("node", "fp", "mark"), "node").join(roots, "node", "left")
-        found = materialise(paired(rest.withColumn("root", F.coalesce("root", "node")), similarity, most), "pairs")
+        most *= 1024
+        rest = shards.join(further, group, "left_semi")
+        found = materialise(paired(with_marks(rest).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), similarity, most), "pairs")
         pairs = materialise(distinct_pairs(found).join(tested, ["u", "v"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
         further = materialise(found.filter("u is null").select(*group).distinct(), "further")
