@@ -253,6 +253,28 @@ def test_group_near_the_threshold_equals_single_linkage(spark):
     assert [found[i] for i in range(len(rows))] == list(wanted)
 
 
+def test_split_shards_equal_single_linkage(spark):
+    rng = random.Random(15)
+    rows = []
+    for g in range(3):  # chains: each text resembles its neighbours only, and no two texts are in one part
+        base = words(rng, 150).split()
+        for i in range(10):
+            for k in range(1 + (i + g) % 3 * 2):
+                base[(i * 37 + k * 53) % len(base)] = f"g{g}q{i}x{k}"
+            rows.append(" ".join(base))
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in rows]
+    wanted = roots(len(rows), lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8)
+    assert 1 < len(set(wanted)) < len(rows)
+    found = {r["doc_id"]: r["component_id"] for r in neardup.similar_documents(documents(spark, rows), shard_rows=1).collect()}
+    assert [found[i] for i in range(len(rows))] == list(wanted)
+
+
+def test_pair_in_two_parts_is_linked(spark):
+    text = words(random.Random(3), 150)
+    found = neardup.similar_documents(documents(spark, [text, text + " q"]), shard_rows=1).collect()
+    assert {r["component_id"] for r in found} == {0}
+
+
 # 6 extraction ---------------------------------------------------------------------------
 
 PAGE = """<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/x>Menu</a></li><li>More</li></ul></nav><div class="cookie-notice">We use cookies</div>
