@@ -37,8 +37,8 @@ RADIUS = 3
 SHARD_ROWS = 4096
 
 
-def simhash(text: str | None, words_per_shingle: int) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats counted; unsigned."""
+def simhash(text: str | None, words_per_shingle: int, distinct: bool = False) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats counted unless ``distinct``; unsigned."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII letters and white space only
@@ -50,6 +50,7 @@ def simhash(text: str | None, words_per_shingle: int) -> int:
     k = min(words_per_shingle, len(words))
     digest = xxhash.xxh64_intdigest
     h = [digest(joined[s:e], 42) for s, e in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]
+    h = list(set(h)) if distinct else h
     ones = np.zeros(64, np.int64)
     hashes = np.array(h, "<u8")
     for at in range(0, len(hashes), 65_536):
@@ -212,10 +213,12 @@ def unsigned_hex(fp: str) -> F.Column:
 # --- near-duplicates by resemblance, for filtering -------------------------------
 
 SIMILARITY = 0.8
-SEARCH_RADIUS = 24  # bits; texts that share 0.8 of their shingles lie about 10 apart
+# A bit of the SimHash over distinct shingles differs with probability 0.1875 at most for two sets that share 0.8
+# (four shingles against five; 0.152 for large sets), so 28 of 64 bits are exceeded with probability 1.1e-6 at most.
+SEARCH_RADIUS = 28
 SKETCH = 256
 DOUBT = (0.085, 0.075)  # estimates so far below or above the similarity are settled exactly (three standard errors)
-BANDS, BAND = 14, 4  # a pair at 0.8 shares a band of minima with probability 0.9994
+BANDS, BAND = 24, 4  # a pair at 0.8 shares no band of minima with probability 3.2e-6
 
 
 def shingle_hashes(text: str | None, words_per_shingle: int) -> np.ndarray:
@@ -255,7 +258,7 @@ def sketches(docs: DataFrame, words_per_shingle: int = SHINGLE) -> DataFrame:
                 node, low = sketch(text, words_per_shingle)
                 keys = [xxhash.xxh64_intdigest(low[i * BAND : (i + 1) * BAND].tobytes(), i) for i in range(BANDS)]
                 mark = (low * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()
-                for column, value in zip(rows, (node, simhash(text, words_per_shingle), keys, mark), strict=True):
+                for column, value in zip(rows, (node, simhash(text, words_per_shingle, distinct=True), keys, mark), strict=True):
                     column.append(value)
             signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in rows[:2]]
             keys = pa.array(np.array(rows[2], np.uint64).view(np.int64).reshape(-1, BANDS).tolist(), pa.list_(pa.int64()))

@@ -275,6 +275,16 @@ def test_pair_in_two_parts_is_linked(spark):
     assert {r["component_id"] for r in found} == {0}
 
 
+def test_copies_that_repeat_a_line(spark):
+    rng = random.Random(17)
+    rows = []
+    for times in (20, 40, 80) * 4:
+        text, line = words(rng, 300), words(rng, 12)
+        rows += [f"{text}\n{line}", "\n".join([text, *[line] * times])]
+    found = {r["doc_id"]: r["component_id"] for r in neardup.similar_documents(documents(spark, rows)).collect()}
+    assert [found[i] for i in range(len(rows))] == [i - i % 2 for i in range(len(rows))]
+
+
 # 6 extraction ---------------------------------------------------------------------------
 
 PAGE = """<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/x>Menu</a></li><li>More</li></ul></nav><div class="cookie-notice">We use cookies</div>
