@@ -4,9 +4,13 @@ Method: union-free regular-expression inference.  A page is a stream of block
 tags and texts.  Tandem repeats in a stream fold into repeated groups; streams of
 pages of the same host are then aligned one after the other: texts that differ
 become text slots, texts that agree stay template text, and what only some pages
-have becomes an optional group.  The result is the host's wrapper.  Slots in the
-article, outside menus, headers, footers, sidebars, notices, adverts, forms and
-comments, are main; template text that stands on every page is not.
+have becomes an optional group.  The result is the host's wrapper: text that is
+the same on every sampled page with its path, three at least, is template text and
+goes wherever it stands.  What is left of a page is read by the page's own layout:
+its article or main element, outside menus, headers, footers, sidebars, notices,
+adverts, forms and comments; without one, all that stands outside those; without
+that, the slots under marked names.  Names of html, body, article and main mark
+nothing, nor do names of what holds the only article.
 
 Plan: wrappers are inferred from at most ``SAMPLE_PAGES`` pages per host (picked
 by hash in two steps, so that a host with a third of all pages is no single
@@ -15,8 +19,9 @@ wrapper of its host in one map; pages meet wrappers by a join on the host, which
 Spark broadcasts while wrappers are few and splits where a host is hot.
 
 Edge cases: null html counts as empty and gives an empty text.  Null or odd urls
-share the host ''.  A host with one page has a wrapper without template text.
-Blocks on a path that the wrapper has not seen are judged by the same rules.
+share the host ''.  A host with one or two pages has a wrapper without template text.
+Blocks on a path that the wrapper has not seen are judged by the same rules.  A page all of
+whose admitted text is template text keeps it.
 Repeated rows keep their rows.  Empty tables give empty results.  Extra columns
 are ignored.
 """
@@ -26,6 +31,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -47,6 +53,7 @@ HOLDERS = frozenset("html body div section article main nav header footer aside
 BLOCKS = HOLDERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre hr address caption figcaption summary option label legend".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLES = frozenset(("article", "main"))
+UNMARKED = frozenset(("html", "body"))
 OUTSIDE = frozenset("nav footer aside form menu dialog".split())
 #: Words of class and id names that mark what is not the article.
 MARKS = frozenset(
@@ -103,17 +110,26 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def admitted(path: str) -> bool:
-    """Whether a text on this path can be part of an article."""
+def tags(path: str) -> list[str]:
+    return [name.split(".")[0] for name in path.rsplit("|", 1)[0].split(">")]
+
+
+def in_article(path: str) -> bool:
+    return not ARTICLES.isdisjoint(tags(path))
+
+
+def admitted(path: str, marks: str = "all") -> bool:
+    """Whether a text on this path can be part of an article; marked names count everywhere,
+    only below an article ("inside") or not at all ("none")."""
     holders, own = path.rsplit("|", 1)
     inside = False
     for name in holders.split(">"):
         tag, *words = name.split(".")
         if tag in ARTICLES:
             inside = True
-        elif tag in OUTSIDE or MARKS.intersection(words):
+        elif tag in OUTSIDE or (tag == "header" and not (inside and own in HEADINGS)):
             return False
-        elif tag == "header" and not (inside and own in HEADINGS):
+        elif tag not in UNMARKED and (marks == "all" or (marks == "inside" and inside)) and MARKS.intersection(words):
             return False
     return True
 
@@ -123,10 +139,10 @@ def admitted(path: str) -> bool:
 
 @dataclass
 class Item:
-    """A node of a wrapper: a path with its texts, or a group of nodes."""
+    """A node of a wrapper: a path with its (path, text) pairs on each page, or a group of nodes."""
 
     key: str
-    texts: list[str] = field(default_factory=list)
+    texts: list[tuple[tuple[str, str], ...]] = field(default_factory=list)
     inner: list[Item] = field(default_factory=list)
     repeated: bool = False
     optional: bool = False
@@ -148,7 +164,7 @@ def fold_repeats(items: list[Item], longest: int = 4) -> list[Item]:
                 n += 1
             if n > 1:
                 key = "(" + " ".join(x.key for x in unit) + ")+" if size > 1 else unit[0].key
-                texts = [t for x in items[i : i + n * size] for t in x.texts]
+                texts = [tuple(t for x in items[i : i + n * size] for page in x.texts for t in page)]
                 out.append(Item(key, texts, unit if size > 1 else [], repeated=True))
                 i += n * size
             else:
@@ -184,34 +200,39 @@ def align(wrapper: list[Item], page: list[Item]) -> list[Item]:
 
 
 def infer(pages: list[str]) -> dict:
-    """The wrapper of same-host pages: its expression, main paths and template texts."""
+    """The wrapper of same-host pages: its expression and template texts."""
     streams = [blocks(p) for p in pages]
     wrapper: list[Item] | None = None
+    read: list[tuple] = []
     for stream in streams:
-        items = fold_repeats([Item(b.path, [b.text]) for b in stream])
+        texts = tuple((b.path, b.text) for b in stream)
+        items = fold_repeats([Item(path, [((path, text),)]) for path, text in texts])
+        if texts in read:  # a copy tells nothing about what varies
+            continue
+        read.append(texts)
         wrapper = items if wrapper is None else align(wrapper, items)
-    paths = list(dict.fromkeys(b.path for s in streams for b in s))
-    main = [p for p in paths if admitted(p)]
-    within = [p for p in main if any(x.split(".")[0] in ARTICLES for x in p.rsplit("|", 1)[0].split(">"))]
+    with_path = Counter(path for texts in read for path in {path for path, _ in texts})
     template: dict[str, list[str]] = {}
-    if len(streams) > 2 and len({tuple(b.text for b in s) for s in streams}) > 2:
-        for item in wrapper or []:  # the same text once on every page, outside the article: not a slot
-            if item.key not in within and not item.inner and not item.repeated and not item.optional and len(item.texts) == len(streams) and len(set(item.texts)) == 1:
-                template.setdefault(item.key, []).append(item.texts[0])
-    return {"expression": " ".join(map(str, wrapper or [])), "main": within or main, "article": bool(within), "known": paths, "template": template}
+    for item in wrapper or []:  # the same on every page that has its paths: not a slot
+        if len(item.texts) > 2 and len(set(item.texts)) == 1 and all(with_path[path] == len(item.texts) for path, _ in item.texts[0]):
+            for path, text in item.texts[0]:
+                template.setdefault(path, []).append(text)
+    return {"expression": " ".join(map(str, wrapper or [])), "template": template}
 
 
 def extract(page: str | None, wrapper: dict) -> str:
     """The main text of a page, as its wrapper reads it."""
-    main, known, template = wrapper["main"], wrapper["known"], wrapper["template"]
+    template = wrapper["template"]
     found = blocks(page or "")
+    slots = [b for b in found if b.text not in template.get(b.path, ())]
 
-    def kept(b: Block) -> bool:
-        if b.text in template.get(b.path, ()):
-            return False
-        return b.path in main if b.path in known else admitted(b.path) and (not wrapper["article"] or any(f">{a}" in b.path or b.path.startswith(a) for a in ARTICLES))
+    def chosen(some: list[Block]) -> list[Block]:
+        article = [b for b in some if in_article(b.path)]
+        ways = ((article, "all"), (article, "inside"), (some, "all"))
+        return next((kept for of, marks in ways if (kept := [b for b in of if admitted(b.path, marks)])), [])
 
-    return "\n\n".join(b.text for b in found if kept(b))
+    kept = chosen(slots) or chosen(found) or [b for b in slots if admitted(b.path, "none")]
+    return "\n\n".join(b.text for b in kept)
 
 
 # --- on the cluster --------------------------------------------------------------
@@ -247,13 +268,12 @@ def main_texts(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     joined = hosted.join(learned, hosted["host"] == learned["_host"], "left").select("page_id", "url", "html", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, wrapper = None, {"main": [], "known": [], "template": {}, "article": False}
+        last, wrapper = None, {"template": {}}
         for batch in batches:
             texts = []
             for page, learned_json in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if learned_json != last and learned_json is not None:
                     last, wrapper = learned_json, json.loads(learned_json)
-                    wrapper["main"], wrapper["known"] = set(wrapper["main"]), set(wrapper["known"])
                 texts.append(extract(page, wrapper))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],

@@ -307,6 +307,18 @@ def test_wrapper_expression():
     assert "article|p+" in found["expression"] and "ul|li+" in found["expression"]
 
 
+def test_extraction_loses_no_page_of_a_mixed_host(spark):
+    rows = [(i, None, PAGE.replace("{i}", str(i))) for i in range(4)]
+    rows += [(10, "odd", "plain"), (11, None, "<body class=has-sidebar><div class=text><p>Other site</div><div class=sidebar><p>Aside</div>")]
+    rows += [(12, "odd", "<div class=with-sidebar><article class='post comment'><p>Marked</p><div class=ad>Buy</div></article></div>"), (13, None, "<div class=banner><p>Only text</div>")]
+    rows += [(20 + i, "http://c.example/x", f"<article><p>Slot {i}</p><p>Own {i}</p><ul><li>Share</li><li>Print</li></ul></article>") for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in extraction.main_texts(pages).collect()}
+    assert [found[i] for i in range(10, 14)] == ["plain", "Other site", "Marked", "Only text"]
+    for i in range(4):
+        assert found[i] == f"Head {i}\n\nFirst & line {i} goes on\n\nSecond {i}" and found[20 + i] == f"Slot {i}\n\nOwn {i}"
+
+
 # 7 decontamination ---------------------------------------------------------------------
 
 
