@@ -258,6 +258,14 @@ class Item:
         return body + "+" * self.repeated + "?" * self.optional
 
 
+def join_flags(left: Item, right: Item) -> None:
+    """What repeats or may be absent in a like item does so in ``left`` as well."""
+    left.repeated |= right.repeated
+    left.optional |= right.optional
+    for a, b in zip(left.inner, right.inner, strict=True):
+        join_flags(a, b)
+
+
 def fold_repeats(items: list[Item], longest: int = 4) -> list[Item]:
     """Tandem repeats of up to ``longest`` items become one repeated group each."""
     for size in range(1, longest + 1):
@@ -272,6 +280,9 @@ def fold_repeats(items: list[Item], longest: int = 4) -> list[Item]:
             if n > 1:
                 key = "(" + " ".join(keys) + ")+" if size > 1 else unit[0].key
                 texts = [tuple(t for x in items[i : i + n * size] for page in x.texts for t in page)]
+                if size > 1:
+                    for k in range(i + size, i + n * size):
+                        join_flags(unit[(k - i) % size], items[k])
                 out.append(Item(key, texts, unit if size > 1 else [], repeated=True))
                 i += n * size
             else:
@@ -322,8 +333,9 @@ def align(wrapper: list[Item], page: list[Item]) -> list[Item]:
             item.optional = True
             out.append(item)
         if a < len(wrapper):
-            one, two = wrapper[a], page[b]
-            out.append(Item(one.key, one.texts + two.texts, one.inner, one.repeated or two.repeated, one.optional))
+            join_flags(wrapper[a], page[b])
+            wrapper[a].texts += page[b].texts
+            out.append(wrapper[a])
         i, j = a + 1, b + 1
     return out
 

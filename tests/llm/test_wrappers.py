@@ -49,7 +49,7 @@ def test_the_wrapper_reads_every_page_that_it_was_inferred_from():
 
 def shop(rng, i):
     """A page without article element or telling names, and its main text."""
-    parts = [f"Title {i}", *(words(rng, rng.randint(20, 60)) for _ in range(rng.randint(2, 6)))]
+    parts = [f"Title {i}", *(words(rng, rng.randint(20, 60)) for _ in range(rng.randint(2, 6)))] if i else ["Short", "text"]
     extra = f"<div class=z3><p>{words(rng, 4)}</p></div>" if rng.random() < 0.5 else ""
     body = f"<h2>{parts[0]}</h2>" + "".join(f"<p>{p}</p>" for p in parts[1:])
     page = f"<html><head><title>t</title></head><body><div class=z1><p>Acme shop</p><p><a href=/>Home</a></p></div><div class=z2>{body}</div>{extra}<div class=z4><p>All rights reserved by Acme</p></div></body></html>"
