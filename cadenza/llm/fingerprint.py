@@ -4,30 +4,38 @@ Method: a text's paragraphs are hashed; each distinct digest is added to three
 cells (count, XOR of digests, XOR of checks) of a small sketch.  The sketches of
 two versions subtract cell by cell, and peeling pure cells recovers the digests
 that differ.  Where peeling does not finish, both sides are sketched again with
-as many cells as their sizes call for, then four times and sixteen times as
-many; what even that leaves (digests that collide in every cell) is compared as
-plain sets.  Large sketches are made of groups of small ones, by digest bits, so
-that peeling stays linear.  DataFrame functions only.
+as many cells as their sizes call for, in groups of small sketches by digest bits;
+a group that does not peel is sketched again with other bits and four, then sixteen
+times as many cells; what even that leaves (digests that collide in every cell) is
+compared as plain sets.  Digests are sorted once and each group is a slice of them,
+so that the work is linear in the text but for that sort.  DataFrame functions only.
 
 The likeness of two versions is the share of digests that they have in common
 (size of the intersection by size of the union; 1 for two texts without any).
 
-Paragraphs: lines; in texts under 3,000 characters sentences, and in those under
-300 words, so that short texts have pieces to compare as well.
+Paragraphs: ``runs`` cuts at line ends, at sentence ends and after eight words or 64
+characters without a space, whatever the length of the text; the query uses it.
+``by_length`` is the older rule (lines; sentences in texts under 3,000 characters,
+words in those under 300): versions on both sides of such a length share little.
 
-Plan: digests are computed in the scan.  The next document comes from a window
-over blocks of ``BLOCK_IDS`` consecutive ids: the texts are shuffled once, by
-block, and the first row of each block is also sent to the block before it.  The
-only single-task step is over one row per block.
+Plan: the texts are shuffled once, by blocks of the order of doc_id, with the first
+row of each block also sent to the block before it; the digests are computed after
+that.  Blocks are cut at quantiles of a bounded sample of the ids (``SAMPLED`` per
+block, at most ``MOST_BLOCKS`` blocks), which decides on balance only, never on results;
+rows of an id that fills several blocks are dealt to them by the hash of the text.
+The only single-task step is over one row per block.
 
 Edge cases: null text counts as empty.  Rows with equal ids follow each other in
 the order of their text's hash; rows without an id come first.  The row after
 the last is the first; a single row follows itself.  Equal texts have equal
-fingerprints.  Empty tables give empty results.  Extra columns are ignored.
+fingerprints.  Rows equal in id and text share a block.  Empty tables give empty
+results.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,9 +44,15 @@ from pyspark.sql import functions as F
 TABLES, SLOTS = 3, 8  # a sketch has TABLES * SLOTS cells
 PER_GROUP = 8  # digests of both sides per group of the first larger sketch
 ROUNDS = 12
-BLOCK_IDS = 2048
-FEW_BLOCKS = 100_000  # block starts are broadcast up to this many
+BLOCK_ROWS = 2048
+MOST_BLOCKS = 1 << 16
+SAMPLED = 20  # ids sampled per block
 SENTENCE_BELOW, WORD_BELOW = 3000, 300
+LEAST = -(1 << 63)  # stands for no id
+# Up to seven words that end no sentence, and one word more; words of over 64 characters are cut.
+RUN = r"(?:\S{0,63}[^\s.!?][ \t]+){0,7}\S{1,64}"
+
+Pieces = Callable[[Column, Column], Column]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -46,31 +60,40 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def digests(text: Column, n_chars: Column) -> Column:
-    """Distinct 64-bit digests of the text's paragraphs."""
+def by_length(text: Column, n_chars: Column) -> Column:
     lines, sentences, words = F.split(text, "\n+"), F.split(text, r"\n+|(?<=[.!?])\s+"), F.split(text, r"\s+")
     pieces = F.when(n_chars < WORD_BELOW, words).when(n_chars < SENTENCE_BELOW, sentences).otherwise(lines)
-    return F.array_distinct(F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.xxhash64(p)))
+    return F.filter(pieces, lambda p: p != "")
+
+
+def runs(text: Column, n_chars: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(RUN), 0)
+
+
+def digests(text: Column, n_chars: Column, pieces: Pieces = by_length) -> Column:
+    """Distinct 63-bit digests of the text's paragraphs; the lowest bit is free."""
+    return F.array_distinct(F.transform(pieces(text, n_chars), lambda p: F.xxhash64(p).bitwiseAND(F.lit(-2))))
 
 
 def cell(shift: Column, slot: Column, count: Column, key: Column, check: Column) -> Column:
     return F.struct(shift.alias("s"), slot.alias("r"), count.cast("int").alias("c"), key.cast("long").alias("k"), check.cast("int").alias("h"))
 
 
-def empty_cells() -> Column:
-    zero = F.lit(0)
-    return F.array(*[cell(F.lit(3 * t), F.lit(r), zero, zero, zero) for t in range(TABLES) for r in range(SLOTS)])
+def empty_cells(turn: int = 0) -> Column:
+    """Cells of the ``turn``-th try, which reads digest bits of its own."""
+    zero, first = F.lit(0), 1 + 9 * turn
+    return F.array(*[cell(F.lit(first + 3 * t), F.lit(r), zero, zero, zero) for t in range(TABLES) for r in range(SLOTS)])
 
 
 def in_cell(key: Column, at: Column) -> Column:
     return F.call_function("shiftright", key, at["s"]).bitwiseAND(F.lit(SLOTS - 1)) == at["r"]
 
 
-def sketch(keys: Column) -> Column:
+def sketch(keys: Column, turn: int = 0) -> Column:
     def add(acc: Column, key: Column) -> Column:
         return cell(acc["s"], acc["r"], acc["c"] + 1, acc["k"].bitwiseXOR(key), acc["h"].bitwiseXOR(F.hash(key)))
 
-    return F.transform(empty_cells(), lambda at: F.aggregate(F.filter(keys, lambda k: in_cell(k, at)), at, add))
+    return F.transform(empty_cells(turn), lambda at: F.aggregate(F.filter(keys, lambda k: in_cell(k, at)), at, add))
 
 
 def subtract(left: Column, right: Column) -> Column:
@@ -110,35 +133,68 @@ def peel(cells: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(cells, F.lit(0), F.lit(0), F.lit(True)), turn, finish)
 
 
-def grouped_peel(left: Column, right: Column, groups: Column) -> Column:
-    """As ``peel``, with a sketch for each of ``groups`` (a power of two) parts of the digests."""
+def exact(keys: Column) -> Column:
+    left, right = sides(keys)
+    return result(F.lit(True), F.size(F.array_except(left, right)), F.size(F.array_except(right, left)))
+
+
+def sides(keys: Column) -> tuple[Column, Column]:
+    """The digests of the left and of the right version, whose lowest bit is set."""
+    odd = F.filter(keys, lambda k: k.bitwiseAND(F.lit(1)) == 1)
+    return F.filter(keys, lambda k: k.bitwiseAND(F.lit(1)) == 0), F.transform(odd, lambda k: k.bitwiseXOR(F.lit(1)))
+
+
+def total(results: Column) -> Column:
+    def add(acc: Column, r: Column) -> Column:
+        return result(acc["done"] & r["done"], acc["left"] + r["left"], acc["right"] + r["right"])
+
+    return F.aggregate(results, result(F.lit(True), F.lit(0), F.lit(0)), add)
+
+
+def solved(keys: Column) -> Column:
+    """What differs within a group of digests: a sketch, then four, then sixteen, then plain sets."""
 
-    def part(keys: Column, g: Column) -> Column:
-        return F.filter(keys, lambda k: F.shiftrightunsigned(k, 9).bitwiseAND(groups - 1) == g)
+    def once(part: Column, turn: int) -> Column:
+        left, right = sides(part)
+        return peel(subtract(sketch(left, turn), sketch(right, turn)))
 
-    def step(acc: Column, g: Column) -> Column:
-        found = peel(subtract(sketch_of(left, g), sketch_of(right, g)))
-        more = let(found, lambda r: result(r["done"], acc["left"] + r["left"], acc["right"] + r["right"]))
-        return F.when(acc["done"], more).otherwise(acc)
+    def split(parts: int, turn: int) -> Column:
+        if parts == 1:
+            return once(keys, turn)
+        bits = F.sequence(F.lit(0), F.lit(parts - 1))
+        own = F.transform(bits, lambda p: F.filter(keys, lambda k: F.shiftrightunsigned(k, 37).bitwiseAND(F.lit(parts - 1)) == p))
+        return total(F.transform(own, lambda part: once(part, turn)))
 
-    def sketch_of(keys: Column, g: Column) -> Column:
-        return let(part(keys, g), sketch)
+    def tried(parts: int, turn: int, more: Column) -> Column:
+        return let(split(parts, turn), lambda r: F.when(r["done"], r).otherwise(more))
 
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), groups - 1), result(F.lit(True), F.lit(0), F.lit(0)), step)
+    return tried(1, 1, tried(4, 2, tried(16, 3, exact(keys))))
+
+
+def grouped_peel(left: Column, right: Column) -> Column:
+    """As ``peel``, with small sketches for groups of about PER_GROUP digests by their highest bits."""
+
+    def of(keys: Column) -> Column:
+        n = F.size(keys)
+        bits = F.ceil(F.log2(F.greatest(n / F.lit(PER_GROUP), F.lit(1.0)))).cast("int")
+
+        def group(k: Column) -> Column:  # rises with the signed order of the digests
+            return F.call_function("shiftrightunsigned", F.shiftrightunsigned(k.bitwiseXOR(F.lit(LEAST)), 1), F.lit(63) - bits)
+
+        first = F.transform(keys, lambda k, i: F.when((i == 0) | (group(k) != group(F.get(keys, i - 1))), i))
+        return let(F.array_compact(first), lambda starts: F.transform(starts, lambda s, j: F.slice(keys, s + 1, F.coalesce(F.get(starts, j + 1), n) - s)))
+
+    both = F.sort_array(F.concat(left, F.transform(right, lambda k: k.bitwiseOR(F.lit(1)))))
+    return let(let(both, of), lambda groups: total(F.transform(groups, solved)))
 
 
 def with_difference(df: DataFrame, name: str, left: str, right: str, left_cells: str, right_cells: str) -> DataFrame:
     """``df`` with ``name``: how many digests only ``left`` and only ``right`` have.
 
-    Each try is a projection of its own, computed only for rows that are not done.
+    The larger sketches are a projection of their own, computed only for rows that are not done.
     """
-    wanted = F.greatest(F.lit(1), F.ceil((F.size(left) + F.size(right)) / F.lit(PER_GROUP)))
-    groups = F.pow(F.lit(2), F.ceil(F.log2(wanted.cast("double")))).cast("long")
-    exact = result(F.lit(True), F.size(F.array_except(left, right)), F.size(F.array_except(right, left)))
     df = df.withColumn(name, peel(subtract(F.col(left_cells), F.col(right_cells))))
-    for more in [*[grouped_peel(F.col(left), F.col(right), groups * k) for k in (1, 4, 16)], exact]:
-        df = df.withColumn(name, F.when(F.col(name)["done"], F.col(name)).otherwise(more))
-    return df
+    return df.withColumn(name, F.when(F.col(name)["done"], F.col(name)).otherwise(grouped_peel(F.col(left), F.col(right))))
 
 
 def likeness(left: str, difference: str) -> Column:
@@ -157,39 +213,76 @@ def serialised(keys: Column, cells: Column) -> Column:
     return F.lower(F.concat_ws(":", F.size(keys), F.array_join(F.transform(cells, text), ",")))
 
 
-def with_next(rows: DataFrame, value: str, block_ids: int = BLOCK_IDS, few_blocks: int = FEW_BLOCKS) -> DataFrame:
-    """``rows`` (doc_id, order, ...) with _next: ``value`` of the row that follows, the first after the last."""
-    block = F.coalesce(F.floor(F.col("doc_id") / F.lit(block_ids)), F.lit(-(1 << 62)))
+def cuts(rows: DataFrame, block_rows: int, most_blocks: int) -> list[tuple[int, int]]:
+    """Where blocks of about ``block_rows`` rows begin, as (doc_id, order), but for the first.
+
+    An id that fills several blocks is cut by the order, a hash and so evenly spread.
+    """
+    n = rows.count()
+    blocks = min(most_blocks, -(-n // block_rows))
+    if blocks < 2:
+        return []
+    share = min(1.0, SAMPLED * blocks / n)
+    ids = sorted(r[0] for r in rows.select(F.coalesce("doc_id", F.lit(LEAST))).sample(share, seed=1).collect())  # about SAMPLED * most_blocks at most
+    chosen = [ids[k * len(ids) // blocks] for k in range(1, blocks)] if ids else []
+    same, found = Counter(chosen), []
+    for k, i in enumerate(chosen):
+        run = k - bisect_left(chosen, i)
+        found.append((i, LEAST + (1 << 64) * run // same[i]))
+    return found
+
+
+def with_next(rows: DataFrame, value: str, block_rows: int = BLOCK_ROWS, most_blocks: int = MOST_BLOCKS, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``rows`` (doc_id, order, ...) with _next: ``value`` of the row that follows, the first after the last.
+
+    ``prepare`` is applied once the rows are in their blocks, so that what it adds is not shuffled.
+    """
+    at = cuts(rows, block_rows, most_blocks)
+    own = F.coalesce("doc_id", F.lit(LEAST))
+    tied = len({i for i, _ in at}) < len(at)  # else no row's block depends on its text
+    order = F.col("order") if tied else F.lit(LEAST)
+    block = F.lit(0)
+    if at:  # binary search among the cuts, which are one literal
+        ids, orders = (F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>") for x in zip(*at, strict=True))
+        steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(at).bit_length()))])
+
+        def step(low: Column, size: Column) -> Column:
+            i = F.get(ids, low + size - 1)
+            return F.when((i < own) | ((i == own) & (F.get(orders, low + size - 1) <= order)), low + size).otherwise(low)
+
+        block = F.aggregate(steps, F.lit(0), step)
     placed = rows.withColumn("_block", block)
-    starts = rows.select("doc_id", block.alias("_block")).groupBy("_block").agg(F.min("doc_id").alias("_first"))
-    whole = Window.partitionBy().orderBy("_block")  # one row per block of ids
-    ends = Window.partitionBy().orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.min(F.struct(own.alias("i"), order.alias("o")))
+    starts = rows.select("doc_id", "order", block.alias("_block")).groupBy("_block").agg(first.alias("_first"))
+    whole = Window.partitionBy().orderBy("_block")  # one row per block, most_blocks at most
+    ends = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.coalesce(F.lag("_block").over(whole), F.last("_block").over(ends))
-    starts = starts.select(F.col("_block").alias("_own"), "_first", before.alias("_to"))
-    if starts.limit(few_blocks + 1).count() <= few_blocks:
-        starts = F.broadcast(starts)
-    guests = placed.join(starts, (placed["_block"] == starts["_own"]) & placed["doc_id"].eqNullSafe(starts["_first"]))
+    starts = F.broadcast(starts.select(F.col("_block").alias("_own"), "_first", before.alias("_to")))
+    guests = placed.join(starts, (placed["_block"] == F.col("_own")) & (own == F.col("_first.i")) & (order == F.col("_first.o") if tied else F.lit(True)))
     guests = guests.withColumn("_block", F.col("_to")).drop("_own", "_first", "_to").withColumn("_guest", F.lit(1))
-    both = placed.withColumn("_guest", F.lit(0)).unionByName(guests)
-    order = Window.partitionBy("_block").orderBy("_guest", "doc_id", "order")
-    return both.withColumn("_next", F.lead(value).over(order)).filter("_guest = 0").drop("_guest", "_block")
+    both = prepare(placed.withColumn("_guest", F.lit(0)).unionByName(guests).repartition("_block"))
+    follow = Window.partitionBy("_block").orderBy("_guest", "doc_id", "order")
+    return both.withColumn("_next", F.lead(value).over(follow)).filter("_guest = 0").drop("_guest", "_block")
 
 
-def prints(docs: DataFrame) -> DataFrame:
+def prints(docs: DataFrame, pieces: Pieces = by_length) -> DataFrame:
     """Per document: its fingerprint, that of its edited text, and the likenesses.
 
     The edited text has the last half of the characters replaced by as many first
     characters of the next document, in ascending order of doc_id.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select("doc_id", text.alias("text")).withColumn("n_chars", F.char_length("text"))
-    rows = own.withColumn("keys", digests(F.col("text"), F.col("n_chars"))).withColumn("order", F.xxhash64("text"))
-    followed = with_next(rows.select("doc_id", "order", F.struct("text", "keys").alias("value")), "value")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("order", F.xxhash64("text"))
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.select("doc_id", "order", "_block", "_guest", F.struct("text", digests(F.col("text"), F.char_length("text"), pieces).alias("keys")).alias("value"))
+
+    followed = with_next(rows, "value", prepare=keyed)
     half = F.floor(F.char_length("value.text") / 2).cast("int")
     edited = F.concat(F.substr("value.text", F.lit(1), F.char_length("value.text") - half), F.substr("_next.text", F.lit(1), half))
     both = followed.select("doc_id", F.char_length("value.text").cast("long").alias("n_chars"), F.col("value.keys").alias("a"), F.col("_next.keys").alias("n"), edited.alias("edited"))
-    keyed = both.withColumn("e", digests(F.col("edited"), F.char_length("edited")))
-    marked = keyed.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", "e", "n", sketch(F.col("a")).alias("ca"), sketch(F.col("e")).alias("ce"), sketch(F.col("n")).alias("cn"))
+    keyed_both = both.withColumn("e", digests(F.col("edited"), F.char_length("edited"), pieces))
+    marked = keyed_both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", "e", "n", sketch(F.col("a")).alias("ca"), sketch(F.col("e")).alias("ce"), sketch(F.col("n")).alias("cn"))
     compared = with_difference(with_difference(marked, "de", "a", "e", "ca", "ce"), "dn", "a", "n", "ca", "cn")
     return compared.select(
         "doc_id",

@@ -54,7 +54,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.prints(table(spark, sf_dir, "documents"))
+    return fingerprint.prints(table(spark, sf_dir, "documents"), fingerprint.runs)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
