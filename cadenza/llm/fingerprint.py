@@ -13,8 +13,8 @@ so that the work is linear in the text but for that sort.  DataFrame functions o
 The likeness of two versions is the share of digests that they have in common
 (size of the intersection by size of the union; 1 for two texts without any).
 
-Paragraphs: ``runs`` cuts at line ends, at sentence ends and after eight words or 64
-characters without a space, whatever the length of the text; the query uses it.
+Paragraphs: ``runs`` cuts at line ends, at sentence ends and after 100 characters of a
+sentence, whatever the length of the text; the query uses it.
 ``by_length`` is the older rule (lines; sentences in texts under 3,000 characters,
 words in those under 300): versions on both sides of such a length share little.
 
@@ -42,15 +42,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TABLES, SLOTS = 3, 8  # a sketch has TABLES * SLOTS cells
-PER_GROUP = 8  # digests of both sides per group of the first larger sketch
-ROUNDS = 12
+PER_GROUP, GROUP_SLOTS = 10, 4  # most digests of both sides, on average, per group of the first larger sketch, and its slots per table
+ROUNDS = 8
 BLOCK_ROWS = 2048
 MOST_BLOCKS = 1 << 16
 SAMPLED = 20  # ids sampled per block
 SENTENCE_BELOW, WORD_BELOW = 3000, 300
 LEAST = -(1 << 63)  # stands for no id
-# Up to seven words that end no sentence, and one word more; words of over 64 characters are cut.
-RUN = r"(?:\S{0,63}[^\s.!?][ \t]+){0,7}\S{1,64}"
+RUN = r"[^.!?\s][^.!?\n]{0,99}+[.!?]*+|[.!?]++"  # possessive: one pass without going back
 
 Pieces = Callable[[Column, Column], Column]
 
@@ -75,29 +74,42 @@ def digests(text: Column, n_chars: Column, pieces: Pieces = by_length) -> Column
     return F.array_distinct(F.transform(pieces(text, n_chars), lambda p: F.xxhash64(p).bitwiseAND(F.lit(-2))))
 
 
-def cell(shift: Column, slot: Column, count: Column, key: Column, check: Column) -> Column:
-    return F.struct(shift.alias("s"), slot.alias("r"), count.cast("int").alias("c"), key.cast("long").alias("k"), check.cast("int").alias("h"))
+def cell(at: Column | tuple[int, int], count: Column, key: Column, check: Column) -> Column:
+    """A cell for the digests whose bits ``m`` are ``v``: their number, XOR and XOR of checks."""
+    mask, value = (F.lit(x).cast("long") for x in at) if isinstance(at, tuple) else (at["m"], at["v"])
+    return F.struct(mask.alias("m"), value.alias("v"), count.cast("int").alias("c"), key.cast("long").alias("k"), check.cast("int").alias("h"))
 
 
-def empty_cells(turn: int = 0) -> Column:
+def empty_cells(turn: int = 0, slots: int = SLOTS) -> Column:
     """Cells of the ``turn``-th try, which reads digest bits of its own."""
     zero, first = F.lit(0), 1 + 9 * turn
-    return F.array(*[cell(F.lit(first + 3 * t), F.lit(r), zero, zero, zero) for t in range(TABLES) for r in range(SLOTS)])
+    at = [(slots - 1 << first + 3 * t, r << first + 3 * t) for t in range(TABLES) for r in range(slots)]
+    return F.array(*[cell(x, zero, zero, zero) for x in at])
 
 
 def in_cell(key: Column, at: Column) -> Column:
-    return F.call_function("shiftright", key, at["s"]).bitwiseAND(F.lit(SLOTS - 1)) == at["r"]
+    return key.bitwiseAND(at["m"]) == at["v"]
 
 
-def sketch(keys: Column, turn: int = 0) -> Column:
+def sketch(keys: Column) -> Column:
     def add(acc: Column, key: Column) -> Column:
-        return cell(acc["s"], acc["r"], acc["c"] + 1, acc["k"].bitwiseXOR(key), acc["h"].bitwiseXOR(F.hash(key)))
+        return cell(acc, acc["c"] + 1, acc["k"].bitwiseXOR(key), acc["h"].bitwiseXOR(F.hash(key)))
 
-    return F.transform(empty_cells(turn), lambda at: F.aggregate(F.filter(keys, lambda k: in_cell(k, at)), at, add))
+    return F.transform(empty_cells(), lambda at: F.aggregate(F.filter(keys, lambda k: in_cell(k, at)), at, add))
+
+
+def difference(keys: Column, turn: int) -> Column:
+    """The sketch of the left digests less that of the right ones (whose lowest bit is set), in one go."""
+
+    def add(acc: Column, key: Column) -> Column:
+        digest = key.bitwiseAND(F.lit(-2))
+        return cell(acc, acc["c"] + 1 - 2 * key.bitwiseAND(F.lit(1)), acc["k"].bitwiseXOR(digest), acc["h"].bitwiseXOR(F.hash(digest)))
+
+    return F.transform(empty_cells(turn, GROUP_SLOTS), lambda at: F.aggregate(F.filter(keys, lambda k: in_cell(k, at)), at, add))
 
 
 def subtract(left: Column, right: Column) -> Column:
-    return F.zip_with(left, right, lambda a, b: cell(a["s"], a["r"], a["c"] - b["c"], a["k"].bitwiseXOR(b["k"]), a["h"].bitwiseXOR(b["h"])))
+    return F.zip_with(left, right, lambda a, b: cell(a, a["c"] - b["c"], a["k"].bitwiseXOR(b["k"]), a["h"].bitwiseXOR(b["h"])))
 
 
 def result(done: Column, left: Column, right: Column) -> Column:
@@ -107,12 +119,13 @@ def result(done: Column, left: Column, right: Column) -> Column:
 def peel(cells: Column) -> Column:
     """Whether a difference of sketches peels, and how many digests only one side has."""
 
-    def state(at: Column, left: Column, right: Column, live: Column) -> Column:
-        return F.struct(at.alias("at"), left.cast("int").alias("left"), right.cast("int").alias("right"), live.alias("live"))
+    def state(at: Column, left: Column, right: Column, clear: Column) -> Column:
+        """``clear`` is null while peeling goes on; then the cells, which every round would copy, are let go."""
+        return F.struct(at.alias("at"), left.cast("int").alias("left"), right.cast("int").alias("right"), clear.alias("clear"))
 
     def remove(at: Column, found: Column) -> Column:
         def less(acc: Column, x: Column) -> Column:
-            return cell(acc["s"], acc["r"], acc["c"] - x["c"], acc["k"].bitwiseXOR(x["k"]), acc["h"].bitwiseXOR(F.hash(x["k"])))
+            return cell(acc, acc["c"] - x["c"], acc["k"].bitwiseXOR(x["k"]), acc["h"].bitwiseXOR(F.hash(x["k"])))
 
         return F.transform(at, lambda one: F.aggregate(F.filter(found, lambda x: in_cell(x["k"], one)), one, less))
 
@@ -122,15 +135,18 @@ def peel(cells: Column) -> Column:
 
         def apply(f: Column) -> Column:
             more = F.size(F.filter(f, lambda x: x["c"] == 1))
-            return state(remove(acc["at"], f), acc["left"] + more, acc["right"] + F.size(f) - more, F.size(f) > 0)
+            less = state(remove(acc["at"], f), acc["left"] + more, acc["right"] + F.size(f) - more, F.lit(None).cast("boolean"))
+            return F.when(F.size(f) > 0, less).otherwise(state(F.slice(acc["at"], 1, 0), acc["left"], acc["right"], empty(acc["at"])))
+
+        return F.when(acc["clear"].isNull(), let(found, apply)).otherwise(acc)
 
-        return F.when(acc["live"], let(found, apply)).otherwise(acc)
+    def empty(at: Column) -> Column:
+        return F.forall(at, lambda x: (x["c"] == 0) & (x["k"] == 0))
 
     def finish(acc: Column) -> Column:
-        clear = F.forall(acc["at"], lambda x: (x["c"] == 0) & (x["k"] == 0))
-        return result(clear, acc["left"], acc["right"])
+        return result(F.coalesce(acc["clear"], empty(acc["at"])), acc["left"], acc["right"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(cells, F.lit(0), F.lit(0), F.lit(True)), turn, finish)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(cells, F.lit(0), F.lit(0), F.lit(None).cast("boolean")), turn, finish)
 
 
 def exact(keys: Column) -> Column:
@@ -155,8 +171,7 @@ def solved(keys: Column) -> Column:
     """What differs within a group of digests: a sketch, then four, then sixteen, then plain sets."""
 
     def once(part: Column, turn: int) -> Column:
-        left, right = sides(part)
-        return peel(subtract(sketch(left, turn), sketch(right, turn)))
+        return peel(difference(part, turn))
 
     def split(parts: int, turn: int) -> Column:
         if parts == 1:

