@@ -9,18 +9,22 @@ are verified with the regular expressions.  A rule without mandatory trigrams
 scans every text.  DataFrame functions only.
 
 Plan: the index is built from one scan (plain substring tests on lower-cased
-text); what is shuffled are (trigram, block, id) rows and the candidates, and
-for the verifying join the texts once, by id.  A posting block holds at most
-``block_ids`` ids however common its trigram is.
+text); what is shuffled are (trigram, block, id) rows and the candidates.  The
+candidates are written once; where they have at most ``BROADCAST_BYTES`` they meet
+the texts by a broadcast, and no text is shuffled, else by a join on the id.  A
+posting block holds at most ``block_ids`` ids however common its trigram is.
+Positions are prefix sums over the matches of a text, and cuts are made within
+chunks of the text, so that a text with n matches costs O(n log n).
 
 Edge cases: null text counts as empty.  Rows are verified one by one, so
-repeated rows and rows that share an id keep their own spans.  A null id is
-indexed under a number of its own.  Empty tables give empty results.  Extra
+repeated rows and rows that share an id keep their own spans.  Rows without an id
+are indexed under a hash of their text.  Empty tables give empty results.  Extra
 columns are ignored by ``scan`` and kept by ``redact``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from re import _constants as ops
@@ -29,8 +33,11 @@ from re import _parser as regex_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.session import materialise
+
 BLOCK_IDS = 8192
-NO_ID = -(1 << 62)
+BROADCAST_BYTES = 16 << 20
+CHUNK = 1024  # characters of a text that a cut looks at
 
 
 @dataclass(frozen=True)
@@ -116,10 +123,14 @@ def trigram_query(pattern: str, most: int = 64) -> Query:
     return tuple(least({grams(s) for s in c}) for c in clauses if all(len(s) >= 3 for s in c))
 
 
+def index_id(doc_id: Column, text: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.xxhash64(text.cast("string")))
+
+
 def trigram_index(docs: DataFrame, grams: list[str], block_ids: int = BLOCK_IDS) -> DataFrame:
     """block and postings (trigram -> ids) of the named trigrams, over lower-cased texts."""
     low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    held = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("id"), low.alias("low")).select(
+    held = docs.select(index_id(F.col("doc_id"), F.col("text")).alias("id"), low.alias("low")).select(
         "id", F.array_compact(F.array(*[F.when(F.col("low").contains(g), F.lit(g)) for g in grams])).alias("grams")
     )
     each = held.select("id", F.floor(F.col("id") / F.lit(block_ids)).alias("block"), F.explode_outer("grams").alias("gram")).filter("gram is not null")
@@ -145,28 +156,49 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block_ids: int
     return found.select("x.kind", F.explode("x.ids").alias("id")).groupBy("id").agg(F.collect_set("kind").alias("rules"))
 
 
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Prefix sums, or another associative ``op``, of an array, by doubling the reach: O(n log n)."""
+    rounds = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int")
+
+    def wider(acc: Column, k: Column) -> Column:
+        reach = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: F.when(i < reach, x).otherwise(op(F.get(acc, i - reach), x)))
+
+    steps = F.filter(F.sequence(F.lit(0), rounds), lambda k: k < rounds)
+    return F.aggregate(steps, values, wider)
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """Sorted (start, end) of the rule's leftmost non-overlapping matches, in code points."""
     found, gaps = F.regexp_extract_all(text, F.lit(rule.pattern), 0), F.split(text, rule.pattern, -1)
-    both = F.arrays_zip(found.alias("m"), gaps.alias("g"), (F.regexp_extract_all(text, F.lit(rule.pattern), rule.value_group)).alias("v"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    value = F.regexp_extract_all(text, F.lit(rule.pattern), rule.value_group) if rule.value_group else found
+    sized = F.transform(F.filter(F.arrays_zip(found.alias("m"), gaps.alias("g"), value.alias("v")), lambda x: x["m"].isNotNull()), sizes)  # there is one gap more than matches
+
+    def placed(all_: Column) -> Column:
+        ends = running(F.transform(all_, lambda x: x["g"] + x["m"]), lambda a, b: a + b)
+        both = F.zip_with(all_, ends, lambda x, e: F.struct((e - x["m"]).alias("s"), e.alias("e"), x["v"].alias("v")))
+        return F.transform(F.filter(both, lambda x: x["v"] >= rule.min_chars), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+
+    return let(sized, placed)
+
+
+def sizes(x: Column) -> Column:
+    return F.struct(*[F.char_length(x[c]).alias(c) for c in "mgv"])
 
-    def add(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.char_length(x["g"])
-        e = s + F.char_length(x["m"])
-        here = F.array(F.struct(s.alias("s"), e.alias("e")))
-        kept = F.when(F.char_length(x["v"]) >= rule.min_chars, F.concat(acc["out"], here)).otherwise(acc["out"])
-        return F.struct(e.alias("at"), kept.alias("out"))
 
-    matched = F.filter(both, lambda x: x["m"].isNotNull())  # there is one gap more than matches
-    return F.aggregate(matched, start, add, lambda acc: acc["out"])
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
-def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """row (the document's columns, as a struct), text and spans: an array of (s, k, e) sorted by start and rule order."""
     asked = {r.kind for r in rules if trigram_query(r.pattern)}
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # so that no name can clash
-    joined = rows.join(candidates(docs, rules), F.coalesce(F.col("row.doc_id"), F.lit(NO_ID)) == F.col("id"), "left")
+    found = materialise(candidates(docs, rules), "secret-candidates")
+    if (found.agg(F.sum(F.lit(24) + F.octet_length(F.array_join("rules", " ")))).first()[0] or 0) <= broadcast_bytes:
+        found = F.broadcast(found)
+    joined = rows.join(found, index_id(F.col("row.doc_id"), F.col("row.text")) == F.col("id"), "left")
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     none = F.array().cast("array<struct<s:int,e:int>>")
 
@@ -196,18 +228,34 @@ def scan(docs: DataFrame) -> DataFrame:
     return found.select("row.doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of the text replaced by ``mark``; overlapping spans by one."""
-    found = with_spans(docs)
-    text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def marked(text: Column, found: Column, mark: str) -> Column:
+    """``text`` with ``mark`` in place of each span, and of spans that overlap one."""
+
+    def cut(chunks: Column, a: Column, b: Column) -> Column:
+        """Characters ``a`` to ``b`` of the text, read from its chunks."""
+
+        def part(i: Column, low: Column, high: Column) -> Column:
+            return F.substr(F.coalesce(F.get(chunks, i), F.lit("")), low + 1, high - low)
+
+        i, j = F.floor(a / F.lit(CHUNK)).cast("int"), F.floor(b / F.lit(CHUNK)).cast("int")
+        across = F.concat(part(i, a % CHUNK, F.lit(CHUNK)), F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), part(j, F.lit(0), b % CHUNK))
+        return F.when(i == j, part(i, a % CHUNK, b % CHUNK)).otherwise(across)
 
-    def add(acc: Column, x: Column) -> Column:
-        part = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], part).otherwise(acc["out"]).alias("out"))
+    def joined(chunks: Column, ends: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            at = F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
+            return F.when(x["s"] >= at, F.concat(cut(chunks, at, x["s"]), F.lit(mark))).otherwise(F.lit(""))
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text)))
+        last = cut(chunks, F.element_at(ends, -1), F.char_length(text))
+        return F.concat(F.array_join(F.transform(found, piece), ""), last)
 
-    cut = F.when(F.size("spans") > 0, F.aggregate("spans", start, add, finish)).otherwise(F.col("row.text"))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), 0)
+    ends = running(F.transform(found, lambda x: x["e"]), lambda a, b: F.greatest(a, b))
+    return let(chunks, lambda c: let(ends, lambda e: joined(c, e)))
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every span of the text replaced by ``mark``; overlapping spans by one."""
+    found = with_spans(docs)
+    cut = F.when(F.size("spans") > 0, marked(F.col("text"), F.col("spans"), mark)).otherwise(F.col("row.text"))
     return found.select(*[cut.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
