@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,25 +41,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where the setting is absent (tests, laptops) is a temporary folder
-    chosen and remembered in the session.
+    Where the setting is absent a temporary folder is chosen and remembered in the
+    session, but only in local mode (tests, laptops): on a cluster no other machine
+    would see its files, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("cadenza.shared.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cadenza-shared-")
         spark.conf.set("cadenza.shared.dir", found)
     return found.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage in a way that survives lost executors: later reads find the
-    files in the shared store, and column pruning still applies to them.
+    files in the shared store, and column pruning still applies to them.  The table
+    stays until the ``scratch`` around it ends, or for good.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of whatever store holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialise`` writes within are deleted at the end; write results out before."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[before:]:
+            remove(spark, path)
+        del _written[before:]

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm import decontam, neardup, packing, secrets, toxicity
-from cadenza.session import shared_dir, table
+from cadenza.session import remove, scratch, shared_dir, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -57,11 +57,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each result is written as Parquet in the shared folder and read again."""
+    """All stages in order; each result is written as Parquet in the shared folder and read again.
+
+    What a stage wrote on the way, and its input once its result is there, is deleted.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if k:
+            remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
