@@ -35,6 +35,8 @@ from cadenza.session import materialise
 SHINGLE = 5
 RADIUS = 3
 SHARD_ROWS = 4096
+HOT_ROWS = 1000
+BROADCAST_NODES = 500_000  # of 16 bytes each
 
 
 def simhash(text: str | None, words_per_shingle: int, distinct: bool = False) -> int:
@@ -194,15 +196,30 @@ def components(edges: DataFrame) -> DataFrame:
     return at.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def hot_limit(rows: DataFrame) -> int:
+    """Rows of one key beyond which it is dealt to several tasks; at most a million keys have more."""
+    return max(HOT_ROWS, rows.count() // 1_000_000)
+
+
+def named_rows(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``names`` (key, n, ...), of which a key has n rows; keys with many are salted."""
+    limit = hot_limit(rows)
+    parts = F.ceil(F.col("n") / F.lit(limit)).cast("int")
+    hot = F.broadcast(names.filter(F.col("n") > limit).select(key, parts.alias("_parts")))
+    salted = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    dealt = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return salted.join(dealt, [key, "_salt"]).drop("_salt")
+
+
 def near_duplicates(docs: DataFrame, words_per_shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id of its component) per row."""
     marked = materialise(fingerprints(docs, words_per_shingle), "simhash")
-    classes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
+    classes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "simhash-classes")
     roots = components(links(classes, radius))
-    grouped = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    grouped = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = grouped.join(least, "root").select("fp", "n", "component_id")
+    return named_rows(marked, materialise(named, "simhash-names"), "fp").select("doc_id", "fp", "component_id")
 
 
 def unsigned_hex(fp: str) -> F.Column:
@@ -338,16 +355,21 @@ def paired(members: DataFrame, similarity: float, most: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, words_per_shingle: int) -> DataFrame:
-    """node and its distinct shingles (32-bit hashes), one row for each of ``nodes``."""
+    """node and its distinct shingles (32-bit hashes), one row for each of ``nodes`` (node, first_id)."""
     digest = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))  # the digest that ``sketch`` gives
-    texts = docs.select(digest.alias("node"), F.col("text").cast("string").alias("text")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    first = nodes.select(F.col("node").alias("_node"), F.col("first_id").alias("_first"))
+    if first.count() <= BROADCAST_NODES:
+        first = F.broadcast(first)
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("node"), F.col("text").cast("string").alias("text"))
+    # of equal texts only the first row is wanted, so that no text is a hot key
+    texts = each.join(first, (each["node"] == first["_node"]) & each["doc_id"].eqNullSafe(first["_first"]), "left_semi").dropDuplicates(["node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t, words_per_shingle).view(np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
 
-    return texts.mapInArrow(run, "node long, shingles array<int>")
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<int>")
 
 
 def settled(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -371,7 +393,7 @@ def similar_documents(docs: DataFrame, words_per_shingle: int = SHINGLE, similar
     own, with rounds of its own.  Equal texts always belong together.
     """
     marked = materialise(sketches(docs, words_per_shingle), "sketches")
-    classes = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("mark").alias("mark"))
+    classes = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("mark").alias("mark"))
     classes = materialise(classes, "sketch-classes")
     group = ["t", "key", "i", "j"]
     members = classes.select("node", F.posexplode("keys").alias("t", "key"))
@@ -396,6 +418,7 @@ def similar_documents(docs: DataFrame, words_per_shingle: int = SHINGLE, similar
     # every later candidate is a member of these shards
     doubtful = pairs.filter("not sure").select(F.explode(F.array("u", "v")).alias("node"))
     nodes = doubtful.unionByName(shards.join(further, group, "left_semi").select("node")).distinct()
+    nodes = materialise(nodes.join(classes.select("node", "first_id"), "node"), "doubtful")
     sets = materialise(shingle_sets(docs, nodes, words_per_shingle), "shingles")
     most, tested, edges = 1, pairs, None
     while True:
@@ -410,9 +433,10 @@ def similar_documents(docs: DataFrame, words_per_shingle: int = SHINGLE, similar
         pairs = materialise(distinct_pairs(found).join(tested, ["u", "v"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
         further = materialise(found.filter("u is null").select(*group).distinct(), "further")
-    grouped = classes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    grouped = classes.join(roots, "node", "left").select("node", "first_id", "n", F.coalesce("root", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.select("doc_id", "node").join(grouped.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    named = materialise(grouped.join(least, "root").select("node", "n", "component_id"), "names")
+    return named_rows(marked.select("doc_id", "node"), named, "node").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, grouped: DataFrame) -> DataFrame:
