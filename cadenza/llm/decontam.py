@@ -9,7 +9,9 @@ Plan: one pass over the texts.  A row's window hashes are exploded straight into
 the broadcast hash join, inside one generated stage, so that only hits and one
 marker row per document are shuffled.  The outer explode keeps the optimizer from
 adding a size filter, which would compute the hashes twice.  The set is broadcast while it has at most
-``broadcast_rows`` windows; beyond that the same join shuffles.
+``broadcast_rows`` windows of ``BROADCAST_BYTES`` in all.  Beyond that only hashes and positions of the
+texts' windows are shuffled (adaptive execution splits a hash that very many texts hold), and the texts'
+words meet the hits alone, for verification.
 
 Edge cases: null texts and items have no words.  Rows are told apart by document
 id and text, so rows that share an id keep their own results, and repeated rows
@@ -26,8 +28,11 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.session import materialise
+
 WINDOW = 10
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # over lower-cased text
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -58,10 +63,10 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def hit_words(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, text_hash, copies, n_words, items (sorted item ids as strings), hits (sorted (pos, len) from 0)."""
-    wins = benchmark_windows(items, window)
+    wins = materialise(benchmark_windows(items, window), "benchmark-windows")
     lengths = [r[0] for r in wins.select("len").distinct().orderBy(F.desc("len")).collect()] or [window]  # at most ``window`` values
-    if wins.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        wins = F.broadcast(wins)
+    n, size = wins.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("win", " ")) + 100), F.lit(0))).first()
+    few = n <= broadcast_rows and size <= BROADCAST_BYTES
     text = F.col("text").cast("string")
     cut = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), words(text).alias("w"))
     sized = cut.withColumn("n_words", F.size("w"))
@@ -73,7 +78,14 @@ def hit_words(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast
         before = F.when(F.col("len") == k, total).otherwise(before)
         total = total + F.greatest(F.col("n_words") - k + 1, F.lit(0))
     pos = F.greatest(F.col("at") - 1 - before, F.lit(0))
-    joined = each.join(wins, "h", "left").filter((F.col("at") == 0) | F.col("len").isNotNull())
+    if few:
+        joined = each.join(F.broadcast(wins), "h", "left").filter((F.col("at") == 0) | F.col("len").isNotNull())
+    else:
+        placed = each.select("doc_id", "text_hash", "n_words", "at", "h").filter("h is not null").join(wins, "h").drop("h")
+        same = F.struct("doc_id", "text_hash")  # null ids are equal within a struct
+        words_of = sized.withColumn("_row", same).select("_row", "w").join(placed.select(same.alias("_row")).distinct(), "_row", "left_semi").dropDuplicates(["_row"])
+        hit = placed.withColumn("_row", same).join(words_of, "_row").drop("_row")
+        joined = sized.select("doc_id", "text_hash", "n_words", F.lit(0).alias("at")).unionByName(hit, allowMissingColumns=True)
     kept = joined.select("doc_id", "text_hash", "n_words", "at", "item_id", "len", pos.alias("pos"), (F.slice("w", pos + 1, F.col("len")) == F.col("win")).alias("same"))
     hits = kept.filter((F.col("at") == 0) | F.col("same"))
     hit = F.when(F.col("len").isNotNull(), F.struct("pos", "len"))

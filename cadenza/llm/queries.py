@@ -27,6 +27,27 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "role", "kind", "json", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_calls", "n_linked")])
 
 
+def tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each call of conversations that call tools, with its level, result and problems.
+
+    The given conversations call none, so each assistant message is read as a call that
+    follows the call two turns before (those of turn 5 wait for each other and one more)
+    and each later user message as the result of the turn before it.
+    """
+    given = table(spark, sf_dir, "conversations")
+    turn, size = F.col("turn"), F.char_length(F.coalesce("text", F.lit("")))
+    call_id = F.concat(F.lit("c"), turn)
+    after = F.array(F.concat(F.lit("c"), turn + F.when(turn % 6 == 5, 0).otherwise(-2)))
+    arguments = F.struct(F.when(size % 3 > 0, size).alias("chars"), F.when(size % 5 > 0, turn.cast("string")).alias("label"), F.when(size % 7 == 0, F.lit(True)).alias("odd"))
+    call = F.to_json(F.struct(F.lit("").alias("content"), F.array(F.struct(call_id.alias("id"), F.when(turn % 4 == 1, "count").otherwise("name").alias("name"), arguments.alias("arguments"), after.alias("after"))).alias("tool_calls")))
+    answer = F.to_json(F.struct(F.concat(F.lit("c"), turn - 1).alias("tool_call_id"), F.concat(F.lit("r"), size).alias("content")))
+    role = F.when((F.col("role") == "user") & (turn > 0), "tool").otherwise(F.col("role"))
+    messages = given.select("conv_id", "turn", role.alias("role"), F.when(role == "assistant", call).when(role == "tool", answer).otherwise(F.col("text")).alias("text"))
+    schemas = spark.sql("select * from values ('count', 'chars', 'integer', true), ('count', 'label', 'string', false), ('name', 'label', 'string', true), ('name', 'chars', 'string', false) as t(name, property, type, required)")
+    found = toolcalls.linked_calls(messages, schemas)
+    return found.select("conv_id", "call_id", "turn", F.col("level").cast("long").alias("level"), "name", "arguments", "result_turn", "result", "problems", "status")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -64,6 +85,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
+        tool_call_links,
         op1_best_fit_packing,
         op2_chat_formatting,
         op3_token_counts,

@@ -8,6 +8,27 @@ select conv_id, turn, role, 'text' as kind,
   to_json(struct_pack(content := coalesce(text, ''), role := coalesce(role, '')))::varchar as json,
   0::bigint as n_calls, 0::bigint as n_linked
 from conversations""",
+    "tool_call_links": """
+with recursive m as (select conv_id, turn, case when role = 'user' and turn > 0 then 'tool' else role end as role, length(coalesce(text, '')) as n from conversations),
+calls as (select conv_id, turn, n, case when turn % 4 = 1 then 'count' else 'name' end as name from m where role = 'assistant'),
+chain as (
+  select conv_id, turn, 0::bigint as level from calls c where turn % 6 <> 5 and not exists (select 1 from calls p where p.conv_id = c.conv_id and p.turn = c.turn - 2)
+  union all
+  select c.conv_id, c.turn, chain.level + 1 from chain join calls c on c.conv_id = chain.conv_id and c.turn = chain.turn + 2 where c.turn % 6 <> 5),
+answers as (select conv_id, turn - 1 as of_turn, turn as result_turn, 'r' || n as result from m where role = 'tool'),
+wrong as (
+  select conv_id, turn, case when n % 3 = 0 and name = 'count' then 'missing:chars' end as p from calls
+  union all select conv_id, turn, case when n % 5 = 0 and name = 'name' then 'missing:label' end from calls
+  union all select conv_id, turn, case when n % 3 > 0 and name = 'name' then 'type:chars' end from calls
+  union all select conv_id, turn, case when n % 7 = 0 then 'unknown:odd' end from calls),
+problems as (select conv_id, turn, string_agg(p, ',' order by p) as problems from wrong where p is not null group by all)
+select c.conv_id, 'c' || c.turn as call_id, c.turn, chain.level, c.name,
+  '{' || array_to_string(list_filter([case when n % 3 > 0 then '"chars":' || n end, case when n % 5 > 0 then '"label":"' || c.turn || '"' end, case when n % 7 = 0 then '"odd":true' end], lambda x: x is not null), ',') || '}' as arguments,
+  a.result_turn, a.result, coalesce(p.problems, '') as problems,
+  case when chain.level is null then 'cycle' when a.result_turn is null then 'no result' else 'linked' end as status
+from calls c left join chain on chain.conv_id = c.conv_id and chain.turn = c.turn
+left join answers a on a.conv_id = c.conv_id and a.of_turn = c.turn
+left join problems p on p.conv_id = c.conv_id and p.turn = c.turn""",
     "op4_secret_scans": r"""
 with docs as (select doc_id, coalesce(text, '') as t from documents),
 rules(kind, k, re, grp, least_chars) as (values
