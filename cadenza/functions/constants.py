@@ -33,7 +33,9 @@ SECTION_LETTERS = {
     "intro": "I", "verse": "A", "pre_chorus": "R", "chorus": "B", "bridge": "C", "instrumental": "D",
     "break": "K", "interlude": "L", "solo": "S", "spoken": "P", "outro": "O",
 }
-WEIGHTED_RANGES = [("basic", 0, 3, 0.05), ("harmonic", 3, 11, 0.25), ("rhythmic", 11, 19, 0.20), ("timbral", 19, 41, 0.20), ("structural", 41, 51, 0.15)]
+WEIGHTED_RANGES = [
+    ("basic", 0, 3, 0.05), ("harmonic", 3, 11, 0.25), ("rhythmic", 11, 19, 0.20), ("timbral", 19, 41, 0.20), ("structural", 41, 51, 0.15), ("melodic", 51, 65, 0.10), ("dynamic", 65, 77, 0.10),
+]
 HARMONIC_RATIOS = [0.5, 2 / 3, 0.75, 1.0, 4 / 3, 1.5, 2.0, 3.0, 4.0]
 # --------------------------------------------------------------------------------
 

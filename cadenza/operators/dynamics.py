@@ -158,3 +158,30 @@ def texture(series: DataFrame) -> DataFrame:
     rows = series.groupBy("track").agg(F.avg("rms").alias("mean"), F.stddev_pop("rms").alias("sd"), F.max("rms").alias("top"))
     scaled = F.try_divide("mean", "top")
     return rows.select("track", F.least(F.lit(1.0), scaled * 10).alias("fullness"), (1 - scaled).alias("smoothness"), F.least(F.lit(1.0), F.try_divide("sd", "mean")).alias("activity"))
+
+
+# Frequency limits of the loudness weights, and steps and factors of brightness.
+LOUDNESS_LOW, LOUDNESS_HIGH, LOUDNESS_SCALE = 1000.0, 8000.0, 5.0
+BRIGHT_FROM, BRIGHT_FACTOR, PLAIN_FACTOR, HIGHS_FROM, HIGHS_LEAST = 0.15, 2.5, 1.5, 0.1, 0.4
+
+
+def perceived_loudness(spectrum: DataFrame, peaks: DataFrame | None = None) -> DataFrame:
+    """Share of the power that is left after weighting by frequency, times five and by the square of
+    the track's ``peaks`` (track, peak) where given; from 0.01 to 1, and 0.01 without power."""
+    low = F.pow(F.col("freq") / LOUDNESS_LOW, 2)
+    weight = F.when(F.col("freq") < LOUDNESS_LOW, low).when(F.col("freq") > LOUDNESS_HIGH, 0.5).otherwise(1.0)
+    rows = spectrum.groupBy("track").agg(F.sum(F.col("power") * weight).alias("heard"), F.sum("power").alias("power"))
+    square = F.lit(1.0)
+    if peaks is not None:
+        rows = rows.join(peaks, "track", "left")
+        square = F.when(F.col("peak") > 0, F.col("peak") * F.col("peak")).otherwise(1.0)
+    share = F.when(F.col("power") > 0, F.col("heard") * square / F.col("power") * LOUDNESS_SCALE).otherwise(0.0)
+    return rows.select("track", F.greatest(F.lit(0.01), F.least(F.lit(1.0), share)).alias("perceived"))
+
+
+def brightness(centroids: DataFrame, nyquist: float) -> DataFrame:
+    """Mean spectral centroid ``x`` of a track over the highest frequency, raised in steps; 0.5 without any."""
+    rows = centroids.groupBy("track").agg((F.avg("x") / nyquist).alias("share"))
+    raised = F.least(F.lit(1.0), F.col("share") * F.when(F.col("share") > BRIGHT_FROM, BRIGHT_FACTOR).otherwise(PLAIN_FACTOR))
+    least = F.when(F.col("share") > HIGHS_FROM, F.greatest(F.lit(HIGHS_LEAST), raised)).otherwise(raised)
+    return rows.select("track", F.when(F.col("share").isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), least)).alias("brightness"))

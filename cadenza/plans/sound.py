@@ -25,6 +25,17 @@ def dynamics_band_distribution(spark, sf_dir):
     return D.band_distribution(B.spectrum(spark, sf_dir)).select("track", *round6("low", "mid", "high", "balance"))
 
 
+def dynamics_perceived_loudness(spark, sf_dir):
+    return D.perceived_loudness(B.spectrum(spark, sf_dir)).select("track", *round6("perceived"))
+
+
+def timbre_brightness(spark, sf_dir):
+    """Frequencies of loud lines as centroids of frames; those of every other track an eighth as high."""
+    low = F.when(F.col("track") % 2 == 0, 8.0).otherwise(1.0)
+    frames = B.spectrum(spark, sf_dir).filter("power > 25").select("track", (F.col("freq") / low).alias("x"))
+    return D.brightness(frames, 22050.0).select("track", *round6("brightness"))
+
+
 def dynamics_sudden_events(spark, sf_dir):
     return D.sudden_changes(B.energy(spark, sf_dir)).select("track", F.col("idx").cast("long").alias("idx"), "kind", *round6("magnitude"))
 
@@ -79,7 +90,7 @@ def harmony_rhythm(spark, sf_dir):
 
 
 QUERIES = [
-    dynamics_range, dynamics_energy_profile, dynamics_band_distribution, dynamics_sudden_events, dynamics_sustained_runs, timbre_roughness, effects_scores,
+    dynamics_range, dynamics_perceived_loudness, timbre_brightness, dynamics_energy_profile, dynamics_band_distribution, dynamics_sudden_events, dynamics_sustained_runs, timbre_roughness, effects_scores,
     instrument_bands, melody_range, melody_vocal_filter, melody_direction, melody_intervals, melody_stability, harmony_complexity, harmony_consonance, harmony_rhythm,
 ]
 
@@ -109,6 +120,13 @@ w as (select track, idx // 10 as w, avg(value) as e from i group by all having c
 s as (select *, sum(e) over (partition by track order by w rows between 1 preceding and 1 following) / 3 as s from n),
 g as (select *, lag(s) over k as p, lead(s) over k as q from s window k as (partition by track order by w))
 select track, w::bigint as w, round(e, 6) as e, round(s, 6) as s, round(coalesce(case when p is null then q - s when q is null then s - p else (q - p) / 2 end, 0.0), 6) as gradient from g""",
+    "dynamics_perceived_loudness": f"""{B.with_sql('spectrum')}, s as (
+  select track, sum(power * case when freq < 1000 then (freq / 1000) ** 2 when freq > 8000 then 0.5 else 1 end) as heard, sum(power) as power from spectrum group by track)
+select track, round(greatest(0.01, least(1.0, case when power > 0 then heard / power * 5 else 0 end))::double, 6) as perceived from s""",
+    "timbre_brightness": f"""{B.with_sql('spectrum')}, s as (
+  select track, avg(freq / case when track % 2 = 0 then 8.0 else 1.0 end) / 22050 as share from spectrum where power > 25 group by track),
+b as (select track, share, least(1.0, share * case when share > 0.15 then 2.5 else 1.5 end) as raised from s)
+select track, round(greatest(0.0, case when share > 0.1 then greatest(0.4, raised) else raised end)::double, 6) as brightness from b""",
     "dynamics_band_distribution": f"""{B.with_sql('spectrum')}, b as (select track, sum(case when freq between 20 and 250 then power else 0 end) as low, sum(case when freq between 250 and 4000 then power else 0 end) as mid, sum(case when freq >= 4000 then power else 0 end) as high from spectrum group by track),
 t as (select track, low / nullif(low + mid + high, 0) as low, mid / nullif(low + mid + high, 0) as mid, high / nullif(low + mid + high, 0) as high from b)
 select track, round(coalesce(low, 0), 6) as low, round(coalesce(mid, 0), 6) as mid, round(coalesce(high, 0), 6) as high,
