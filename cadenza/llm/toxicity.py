@@ -1,21 +1,23 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a linear SVM.
 
-Method: the kernel of two words sums, over all character subsequences of three
-characters within a window of ``SPAN`` characters, the product of their gap
-weights (decay per character spanned), so that gaps and inserted characters
-lower the likeness without ending it.  Landmark words give Nyström features; a
-squared-hinge SVM is trained on the words of labelled sentences.  A text scores
-by its most toxic unit, through a logistic curve fitted on labelled texts.
+Method: the kernel of two words sums, over all character subsequences of four
+characters within a window of ``SPAN`` characters (the word's edges count as one
+character each), the product of their gap weights (decay per character spanned), so
+that gaps and inserted characters lower the likeness without ending it.  Landmark
+words give Nyström features; a squared-hinge SVM is trained on the words of labelled
+sentences.  A text scores by its most toxic unit, through a logistic curve fitted on
+labelled texts.
 
 Labels say that a text is toxic, not where.  Words that stand in toxic texts and
-in no clean ones, too often for chance, are the first positives; the negatives
-are words of clean texts, and the clean words that score highest are added round
-by round.
+in no clean ones, too often for chance, are the positives, as they are and with a
+letter inserted at each inner place; the negatives are words of clean texts, and the
+clean words that score highest are added round by round.  The curve is fitted on the
+texts and, a fifth as many as the toxic ones, on toxic words with other letters inserted.
 
 Plan: the sample (at most ``MOST_TOXIC`` + ``MOST_CLEAN`` texts, chosen by a hash
 of the id) is the only data that meets the driver.  Since a linear SVM on
 Nyström features is a weighted sum of kernels to landmarks, it folds into one
-table over subsequences (0.4 MB); scoring is one map over the scan and looks each
+table over subsequences (10 MB); scoring is one map over the scan and looks each
 distinct word of a batch up once.  No shuffle.
 
 Edge cases: null text counts as empty; a text without words has the score of no
@@ -31,26 +33,32 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN = 5  # characters that a subsequence of three may span
+LENGTH = 4  # characters of a subsequence
+SPAN = 6  # characters that a subsequence may span, from its first to its last
 DECAY = 0.75
-CODES = 48
+CODES = 40
 WIDTH = 24  # characters of a unit; longer words are read in overlapping windows
 MOST_TOXIC, MOST_CLEAN = 2000, 4000
-LANDMARKS = 384
-SPOILED = 300  # toxic words that are also learned with a character inserted
+LANDMARKS = 768
+LETTERS = "acegikmoqsuwy"  # inserted while training
+CALIBRATION = "bdfhjln"  # inserted while the curve is fitted; the other letters are for measuring
+SPOILED = 8000  # toxic words with a letter inserted that are learned beside the words themselves
+OWN = 0.5  # weight of all words as they are, against that of all spoiled ones
+RIDGE = 3e-6
 POOL = 100_000  # clean words, the most frequent, among which hard negatives are sought
 ROUNDS = 3  # of adding the clean words that score highest
 CACHE_WORDS = 150_000  # words whose margins a task remembers
 THRESHOLD = 0.7
 EDGES = " \t.,;:!?\"'()[]{}<>«»“”„…|*#&%$-_"
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")  # words written letter by letter
-STEPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
+STEPS = [steps for steps in combinations(range(1, SPAN), LENGTH - 1)]  # of a subsequence, from its first character
 
 
 def units(text: str) -> set[str]:
@@ -62,19 +70,23 @@ def units(text: str) -> set[str]:
 
 
 def encoded(words: list[str]) -> np.ndarray:
-    """Character codes from 1, one row of WIDTH per word, 0 beyond its end."""
-    flat = "".join(w[:WIDTH].ljust(WIDTH, "\0") for w in words).encode("utf-32-le", "replace")
-    points = np.frombuffer(flat, "<u4").reshape(len(words), WIDTH)
+    """Character codes, one row per word, between two edge codes of 1; 0 beyond the end."""
+    width = max(SPAN, min(WIDTH, max(map(len, words), default=0)) + 2)
+    flat = "".join(("\1" + w[:WIDTH] + "\1").ljust(width, "\0") for w in words).encode("utf-32-le", "replace")
+    points = np.frombuffer(flat, "<u4").reshape(len(words), width)
     letter = (points >= 97) & (points <= 122)
-    return np.where(points == 0, 0, np.where(letter, points - 96, 27 + points % (CODES - 27))).astype(np.int32)
+    return np.where(points < 2, points, np.where(letter, points - 95, 28 + points % (CODES - 28))).astype(np.int32)
 
 
 def occurrences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """Per gap pattern: subsequence codes, where they exist, and their weight."""
     x = encoded(words)
-    for a, b in STEPS:
-        codes = (x[:, : WIDTH - b] * CODES + x[:, a : WIDTH - b + a]) * CODES + x[:, b:]
-        yield codes, x[:, b:] > 0, DECAY ** (b + 1)
+    for steps in STEPS:
+        end = x.shape[1] - steps[-1]
+        codes = x[:, :end]
+        for step in steps:
+            codes = codes * CODES + x[:, step : step + end]
+        yield codes, x[:, steps[-1] :] > 0, DECAY ** (steps[-1] + 1)
 
 
 def sizes(words: list[str]) -> np.ndarray:
@@ -101,25 +113,27 @@ def quick_sizes(words: list[str]) -> np.ndarray:
 def kernel_rows(words: list[str], marks: list[str]) -> np.ndarray:
     """Normalised kernels of the words with each of the landmarks."""
     used = np.unique(np.concatenate([codes[there] for codes, there, _ in occurrences(marks)]))
-    place = np.zeros(CODES**3, np.int32)
+    place = np.zeros(CODES**LENGTH, np.int32)
     place[used] = np.arange(1, len(used) + 1)
-    vectors = np.zeros((len(used) + 1, len(marks)))
+    vectors = np.zeros((len(used) + 1, len(marks)), np.float32)
     for codes, there, weight in occurrences(marks):
         rows, at = np.nonzero(there)
         np.add.at(vectors, (place[codes[rows, at]], rows), weight)
-    vectors /= np.maximum(sizes(marks), 1e-9)
-    out = np.zeros((len(words), len(marks)))
+    vectors /= np.maximum(sizes(marks), 1e-9).astype(np.float32)
+    out = np.zeros((len(words), len(marks)), np.float32)
     for i in range(0, len(words), 500):
         for codes, there, weight in occurrences(words[i : i + 500]):
             found = place[codes] * there
             for column in range(found.shape[1]):
-                out[i : i + 500] += weight * vectors[found[:, column]]
-    return out / np.maximum(sizes(words), 1e-9)[:, None]
+                rows = np.flatnonzero(found[:, column])
+                out[i + rows] += np.float32(weight) * vectors[found[rows, column]]
+    out /= np.maximum(sizes(words), 1e-9)[:, None].astype(np.float32)
+    return out
 
 
 def folded(marks: list[str], weights: np.ndarray) -> np.ndarray:
     """The weighted sum of the landmarks' normalised vectors, over all subsequences."""
-    table = np.zeros(CODES**3)
+    table = np.zeros(CODES**LENGTH)
     scaled = weights / np.maximum(sizes(marks), 1e-9)
     for codes, there, weight in occurrences(marks):
         rows, at = np.nonzero(there)
@@ -150,7 +164,7 @@ class Model:
 
     def words(self, found: list[str]) -> np.ndarray:
         """Margin of each word; of long ones the highest over overlapping windows."""
-        parts = [(i, w) for i, word in enumerate(found) for w in windows(word)]
+        parts = sorted(((i, w) for i, word in enumerate(found) for w in windows(word)), key=lambda part: len(part[1]))
         best = np.full(len(found), self.bias if np.isfinite(self.bias) else 0.0)
         for at in range(0, len(parts), 5000):
             some = parts[at : at + 5000]
@@ -180,19 +194,31 @@ def windows(word: str) -> list[str]:
     return [part for w in forms for part in ([w] if len(w) <= WIDTH else [w[i : i + WIDTH] for i in range(0, len(w) - WIDTH // 2, WIDTH // 2)])]
 
 
-def svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5, rounds: int = 60) -> np.ndarray:
-    """Squared-hinge linear SVM by Newton steps with halving; the last column of ``z`` is the bias."""
+def svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, rounds: int = 60) -> np.ndarray:
+    """Squared-hinge linear SVM by Newton steps with halving; the last column of ``z`` is the bias.
+
+    ``z`` is read in blocks of rows, so that no second copy of it is made.
+    """
     weight = weight / weight.sum()
     u = np.zeros(z.shape[1])
+    blocks = [slice(i, i + 2000) for i in range(0, len(z), 2000)]
+
+    def slack(v: np.ndarray) -> np.ndarray:
+        return np.maximum(0, 1 - y * np.concatenate([z[b] @ v for b in blocks]))
 
     def loss(v: np.ndarray) -> float:
-        return float((weight * np.maximum(0, 1 - y * (z @ v)) ** 2).sum() + ridge * (v @ v))
+        return float((weight * slack(v) ** 2).sum() + ridge * (v @ v))
 
     now = loss(u)
     for _ in range(rounds):
-        active = y * (z @ u) < 1
-        za = z[active] * weight[active, None]
-        step = np.linalg.solve(za.T @ z[active] + ridge * np.eye(len(u)), za.T @ y[active]) - u
+        active = weight * (slack(u) > 0)
+        gram, target = ridge * np.eye(len(u)), np.zeros(len(u))
+        for b in blocks:
+            block = z[b].astype(np.float64)
+            scaled = block.T * active[b]
+            gram += scaled @ block
+            target += scaled @ y[b]
+        step = np.linalg.solve(gram, target) - u
         part = 1.0
         while (then := loss(u + part * step)) > now and part > 1e-4:
             part /= 2
@@ -224,61 +250,68 @@ def one_of_each(texts: list[str | None]) -> list[int]:
     return [i for i, r in enumerate(root) if r == i]
 
 
-def toxic_words(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> list[str]:
-    """Words of toxic texts only, too frequent to be so by chance."""
-    chance = np.log(n_toxic / (n_toxic + n_clean))
-    enough = np.log(len(toxic) + len(clean) + 1) + 2
-    return [w for w, n in toxic.most_common() if len(w) > 2 and clean[w] <= 0.02 * n * n_clean / n_toxic and -chance * n > enough]
+def toxic_words(bags: list[set[str]], y: np.ndarray, clean: Counter) -> list[tuple[str, int]]:
+    """Words of toxic texts only, too frequent to be so by chance, and how many texts hold each."""
+    n_toxic, n_clean = int((y == 1).sum()), int((y == 0).sum())
+    toxic = Counter(w for i in np.flatnonzero(y == 1) for w in sorted(bags[i]))
+    enough = (np.log(len(toxic) + len(clean) + 1) + 2) / -np.log(n_toxic / (n_toxic + n_clean))
+    return [(w, n) for w, n in toxic.most_common() if len(w) > 2 and n > enough and clean[w] <= 0.02 * n * n_clean / n_toxic]
 
 
-def inserted(word: str, rng: np.random.Generator) -> str:
-    """The word with one character more inside."""
-    at = int(rng.integers(1, len(word)))
-    return word[:at] + "xaeioundrst"[int(rng.integers(11))] + word[at:]
+def inserted(word: str, letters: str) -> list[str]:
+    """The word with one of the letters more, at each inner place."""
+    return [word[:at] + c + word[at:] for at in range(1, len(word)) for c in letters] if 4 <= len(word) < WIDTH else []
 
 
-def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model | None:
-    """Fit on labelled texts; None without both kinds or without any toxic word."""
-    chosen = one_of_each(texts)
-    texts, labels = [texts[i] for i in chosen], [labels[i] for i in chosen]
-    y = np.array(labels)
-    if not (y == 1).any() or not (y == 0).any():
-        return None
-    toxic, clean = Counter(), Counter()
-    for text, label in zip(texts, labels, strict=True):
-        (toxic if label else clean).update({w.strip(EDGES) for w in units(text or "")} - {""})
-    positive = toxic_words(toxic, clean, int((y == 1).sum()), int((y == 0).sum()))[:2000]
-    if not positive:
-        return None
+def learn(found: list[tuple[str, int]], clean: Counter, seed: int = 7) -> tuple[np.ndarray, float]:
+    """The folded SVM of toxic words, as they are and with a letter inserted, against clean words."""
     rng = np.random.default_rng(seed)
     common = sorted((w for w in clean if 2 < len(w) <= WIDTH), key=lambda w: (-clean[w], w))
-    if not common:
-        return None
-    positive = [w[:WIDTH] for w in positive]
     rest = common[3000:]
     negative = common[:3000] + [rest[i] for i in rng.choice(len(rest), min(3000, len(rest)), replace=False)] if rest else common
     pool = common[:POOL]
-    often = np.sqrt([toxic[w] for w in positive])
-    spoiled = [(inserted(w, rng), n / 2) for w, n in zip(positive[:SPOILED], often, strict=False) if 4 <= len(w) < WIDTH for _ in range(4)]
-    positive, often = positive + [w for w, _ in spoiled], np.concatenate([often, [n for _, n in spoiled]])
+    words, weights = [w[:WIDTH] for w, _ in found], [np.sqrt(n) for _, n in found]
+    spoiled = [(s, np.sqrt(n)) for w, n in found for s in inserted(w, LETTERS)]
+    spoiled = [spoiled[i] for i in rng.permutation(len(spoiled))[:SPOILED]]
+    positive = words + [s for s, _ in spoiled]
+    given = np.array(weights + [n for _, n in spoiled])
+    given[: len(words)] *= OWN * max(1.0, given[len(words) :].sum()) / given[: len(words)].sum()
     for _ in range(ROUNDS):
         half = LANDMARKS // 2
         landmarks = list(dict.fromkeys(positive[:half] + negative[-half:]))
-        values, vectors = np.linalg.eigh(kernel_rows(landmarks, landmarks))
+        values, vectors = np.linalg.eigh(kernel_rows(landmarks, landmarks).astype(np.float64))
         keep = values > 1e-3 * values.max()
         whiten = vectors[:, keep] / np.sqrt(values[keep])
-        words = positive + negative
-        z = np.hstack([kernel_rows(words, landmarks) @ whiten, np.ones((len(words), 1))])
-        sign = np.where(np.arange(len(words)) < len(positive), 1.0, -1.0)
-        weight = np.concatenate([often * len(negative) / often.sum(), np.ones(len(negative))])
+        both = positive + negative
+        parts = [kernel_rows(both[i : i + 2000], landmarks) @ whiten for i in range(0, len(both), 2000)]
+        z = np.hstack([np.concatenate(parts, dtype=np.float32, casting="same_kind"), np.ones((len(both), 1), np.float32)])
+        sign = np.where(np.arange(len(both)) < len(positive), 1.0, -1.0)
+        weight = np.concatenate([given * len(negative) / given.sum(), np.ones(len(negative))])
         u = svm(z, sign, weight)
         table, bias = folded(landmarks, whiten @ u[:-1]), float(u[-1])
         rated = np.concatenate([margins(table, bias, pool[i : i + 5000]) for i in range(0, len(pool), 5000)])
         hardest = [pool[i] for i in np.argsort(-rated)[:1500]]
         negative = list(dict.fromkeys(negative + hardest[::-1]))
-    model = Model(table, bias, 1.0, 0.0)
+    return table, bias
+
+
+def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model | None:
+    """Fit on labelled texts; None without both kinds or without any toxic word."""
+    chosen = one_of_each(texts)
+    texts, y = [texts[i] for i in chosen], np.array([labels[i] for i in chosen])
+    if not (y == 1).any() or not (y == 0).any():
+        return None
+    bags = [{w.strip(EDGES) for w in units(text or "")} - {""} for text in texts]
+    clean = Counter(w for bag, label in zip(bags, y, strict=True) if not label for w in bag)
+    found = toxic_words(bags, y, clean)[:2000]
+    if not found or not any(2 < len(w) <= WIDTH for w in clean):
+        return None
+    model = Model(*learn(found, clean, seed), 1.0, 0.0)
     margin = np.concatenate([model.margins(texts[i : i + 200], {}) for i in range(0, len(texts), 200)])
-    model.slope, model.shift = logistic(margin, y)
+    other = [s for w, _ in found for s in inserted(w, CALIBRATION)]
+    rng = np.random.default_rng(seed)
+    other = [other[i] for i in rng.permutation(len(other))[: max(1, int((y == 1).sum()) // 5)]]
+    model.slope, model.shift = logistic(np.concatenate([margin, model.words(other)]), np.concatenate([y, np.ones(len(other), int)]))
     return model
 
 

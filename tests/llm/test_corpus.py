@@ -426,6 +426,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.drop_toxic(docs, model).count() == sum(1 for r in found if not r["predicted"])
 
 
+def test_inserted_letters_are_found_and_clean_words_are_not():
+    rng = random.Random(13)
+    insults = ["idiot", "moron", "stupid", "worthless"]
+    texts = [words(rng, 30) + (" " + rng.choice(insults) if i % 3 == 0 else "") for i in range(900)]
+    model = toxicity.train(texts, [int(i % 3 == 0) for i in range(900)])
+    unseen = sorted(set("abcdefghijklmnopqrstuvwxyz") - set(toxicity.LETTERS + toxicity.CALIBRATION))
+    spoiled = [w for insult in insults for w in toxicity.inserted(insult, "".join(unseen))]
+    assert len(unseen) == 6 and np.mean(model.scores(spoiled, {}) >= toxicity.THRESHOLD) >= 0.9
+    assert max(model.scores([words(rng, 30) for _ in range(300)] + [None, ""], {})) < toxicity.THRESHOLD
+
+
 def test_folded_table_equals_landmark_kernels():
     marks, found = ["idiot", "moron", "there"], ["idiots", "mo.ron", "thereby", "haha", "ab"]
     weights = np.array([1.0, -0.5, 2.0])
