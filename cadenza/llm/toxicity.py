@@ -47,6 +47,7 @@ CODES = 40
 WIDTH = 24  # characters of a unit; longer words are read in overlapping windows
 MOST_TOXIC, MOST_CLEAN = 2000, 4000
 LANDMARKS = 768
+BLOCK = 256  # landmarks whose subsequence vectors are held at once
 LETTERS = "acegikmoqsuwy"  # inserted while training
 CALIBRATION = "bdfhjln"  # inserted while the curve is fitted; the other letters are for measuring
 SPOILED = 8000  # toxic words with a letter inserted that are learned beside the words themselves
@@ -111,7 +112,9 @@ def quick_sizes(words: list[str]) -> np.ndarray:
 
 
 def kernel_rows(words: list[str], marks: list[str]) -> np.ndarray:
-    """Normalised kernels of the words with each of the landmarks."""
+    """Normalised kernels of the words with each of the landmarks, of which ``BLOCK`` are held as vectors at a time."""
+    if len(marks) > BLOCK:
+        return np.hstack([kernel_rows(words, marks[i : i + BLOCK]) for i in range(0, len(marks), BLOCK)])
     used = np.unique(np.concatenate([codes[there] for codes, there, _ in occurrences(marks)]))
     place = np.zeros(CODES**LENGTH, np.int32)
     place[used] = np.arange(1, len(used) + 1)
@@ -283,8 +286,9 @@ def learn(found: list[tuple[str, int]], clean: Counter, seed: int = 7) -> tuple[
         keep = values > 1e-3 * values.max()
         whiten = vectors[:, keep] / np.sqrt(values[keep])
         both = positive + negative
-        parts = [kernel_rows(both[i : i + 2000], landmarks) @ whiten for i in range(0, len(both), 2000)]
-        z = np.hstack([np.concatenate(parts, dtype=np.float32, casting="same_kind"), np.ones((len(both), 1), np.float32)])
+        z = np.ones((len(both), whiten.shape[1] + 1), np.float32)  # the last column is the bias
+        for i in range(0, len(both), 2000):
+            z[i : i + 2000, :-1] = kernel_rows(both[i : i + 2000], landmarks) @ whiten
         sign = np.where(np.arange(len(both)) < len(positive), 1.0, -1.0)
         weight = np.concatenate([given * len(negative) / given.sum(), np.ones(len(negative))])
         u = svm(z, sign, weight)
