@@ -1,8 +1,9 @@
 """Quality classifier: supervised subword embeddings.
 
-Method: each word, each pair of a word with itself right after it (one shared
-entry), and each run of three and of four bytes is hashed to a learned vector; a
-document is the average of its vectors, and a softmax layer classifies it.
+Method: each word, each pair of adjacent words, a word that follows itself (one
+shared entry beside its pair's), and each run of three and of four bytes of a word,
+its edges included, is hashed to a learned vector; a document is the average of its
+vectors, and a softmax layer classifies it.
 Vectors and layer are trained together by stochastic gradient descent in numpy.
 
 Plan: the sample (at most ``MOST`` texts per label value, chosen by a hash of the
@@ -44,7 +45,7 @@ def buckets(hashes: np.ndarray, salt: int) -> np.ndarray:
 
 
 def entries(text: str | None) -> list[np.ndarray]:
-    """Table entries of a whole text: words, repeats, byte runs of three and four."""
+    """Table entries of a whole text: words, word pairs, repeats, byte runs of three and four within a word and its edges."""
     raw = (text or "").encode("utf-8", "replace")
     x = np.frombuffer(raw, np.uint8).astype(np.uint32)
     if not len(x):
@@ -60,13 +61,19 @@ def entries(text: str | None) -> list[np.ndarray]:
         place = np.arange(len(letters)) - np.repeat(first, lengths)
         words = np.add.reduceat(x[letters] * POWERS[place & 0xFFF], first, dtype=np.uint32)
         again = int((words[1:] == words[:-1]).sum())
-        out += [buckets(words, 1), np.full(again, REPEAT, np.int32)]
+        pairs = words[:-1] * np.uint32(0x85EBCA6B) ^ words[1:]
+        out += [buckets(words, 1), buckets(pairs, 2), np.full(again, REPEAT, np.int32)]
+    space = x <= 32
+    x = np.where(space, np.uint32(32), x)  # any white space is an edge
     for n in (3, 4):
         if len(x) >= n:
             h = x[: len(x) - n + 1].copy()
             for k in range(1, n):
                 h = h * np.uint32(0x01000193) ^ x[k : len(x) - n + 1 + k]
-            out.append(buckets(h, n))
+            across = np.zeros(len(h), bool)
+            for k in range(1, n - 1):
+                across |= space[k : len(x) - n + 1 + k]
+            out.append(buckets(h[~across], n))
     return out
 
 
