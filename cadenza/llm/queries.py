@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontam, extraction, fingerprint, merkle, neardup, packing, quality, secrets, tokencounts, toolcalls, toxicity
+from cadenza.llm import decontam, extraction, fingerprint, merkle, neardup, packing, quality, secrets, tokencounts, toolcalls, toxicity, variants
 from cadenza.llm.sql import SQL
 from cadenza.session import table
 
@@ -87,6 +87,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         tool_call_links,
@@ -101,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_document_fingerprints,
         op10_toxicity,
         op12_merkle_manifest,
+        op13_spelling_variants,
     )
     return {f.__name__: f for f in every}
 

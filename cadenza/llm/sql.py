@@ -121,4 +121,21 @@ folded as (select doc_id, arg_max(d, step) as root from f group by doc_id),
 top as (select d as root from s where cnt = 1)
 select p.doc_id, p.leaf, sub.subroot, top.root, coalesce(proof, sha256('')) as proof_sha256, folded.root as folded_root, folded.root = top.root as verified
 from p join sub on sub.source is not distinct from p.source join folded on folded.doc_id = p.doc_id left join proof on proof.doc_id = p.doc_id, top""",
+    "op13_spelling_variants": f"""
+with recursive {CRC_TABLE},
+runs as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) as w from documents),
+once as (select doc_id, w, length(w) as len, count(*) as n from runs group by all),
+summed as (select w, len, n, {crc32("doc_id || ':' || w")} as h from once, crc_table),
+cut as (select case when h % 97 = 0 then w[:(h % len)::bigint] || w[(h % len)::bigint + 2:] else w end as word, n from summed),
+words as (select word, sum(n)::bigint as n from cut group by word having length(word) >= 5 and sum(n) >= 3),
+gone as (select word, n, i, word[:i - 1] || word[i + 1:] as rest from words, unnest(range(1, length(word) + 1)) as r(i)),
+near as (
+  select a.word, a.n, b.word as other, b.n as other_n from gone a join gone b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select a.word, a.n, b.word, b.n from gone a join words b on a.rest = b.word
+  union select b.word, b.n, a.word, a.n from gone a join words b on a.rest = b.word),
+best as (select word, count(*) as n_near, (list(other order by other_n desc, encode(other)))[1] as form, max(other_n) as form_n from near group by word),
+forms as (select words.word, words.n, coalesce(n_near, 0) as n_near, case when form_n >= 2 * words.n then form end as form, case when form_n >= 2 * words.n then form_n end as form_n from words left join best on best.word = words.word),
+follow(word, root, step) as (select word, word, 0 from forms union all select follow.word, forms.form, step + 1 from follow join forms on forms.word = follow.root where forms.form is not null),
+last as (select word, arg_max(root, step) as root from follow group by word)
+select forms.word, form, root, n, n_near, form_n from forms join last on last.word = forms.word""",
 }
