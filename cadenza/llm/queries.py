@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontam, extraction, fingerprint, merkle, neardup, packing, quality, secrets, tokencounts, toolcalls, toxicity, variants
+from cadenza.llm import decontam, extraction, fingerprint, merkle, neardup, packing, quality, secrets, tokencounts, toolcalls, toxicity, variants, warc
 from cadenza.llm.sql import SQL
 from cadenza.session import table
 
@@ -83,6 +83,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -104,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_classifier,
         op9_document_fingerprints,
         op10_toxicity,
+        op11_warc,
         op12_merkle_manifest,
         op13_spelling_variants,
     )

@@ -102,6 +102,14 @@ select s.id as doc_id, s.n::bigint as n_words, coalesce(p.n_hit, 0)::bigint as n
   sha256(coalesce(q.items, '')) as items_sha256, coalesce(p.n_hit, 0) > 0 as contaminated
 from sized s left join words p on s.id = p.doc_id left join named q on s.id = q.doc_id
 where s.side = 'd'""",
+    "op11_warc": """
+with p as (select page_id, coalesce(html, '') as html from pages),
+x as (select page_id, strlen(html) as payload_bytes, sha1(html) as h, max(page_id) over (partition by html) as top from p),
+n as (select *, list_transform(range(8), lambda g: ('0x' || h[g * 5 + 1 : g * 5 + 5])::int) as fives from x)
+select page_id, payload_bytes::bigint as payload_bytes,
+  array_to_string(list_transform(fives, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> s) & 31) + 1]), '')), '') as payload_digest,
+  case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id <> top then top end as refers_to
+from n""",
     "op12_merkle_manifest": f"""
 with recursive {CRC_TABLE},
 d as (select doc_id, source, {_leaf('text')} as leaf, case when {crc32('doc_id::varchar')} % 2 = 0 then {_leaf("replace(text, chr(10), '')")} end as now from documents, crc_table),
