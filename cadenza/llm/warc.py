@@ -205,9 +205,11 @@ def directory(f: pa.NativeFile) -> Iterator[Member]:
     end = tail_at + at
     if end >= 20 and (locator := _range(f, end - 20, 20))[:4] == b"PK\x06\x07":
         (where,) = struct.unpack_from("<Q", locator, 8)
-        record64 = _range(f, where, 56)
-        if record64[:4] != b"PK\x06\x06":
+        places = [x for x in (where, end - 76) if 0 <= x <= end - 76]  # as the locator says, or right before it where bytes were put in front
+        where = next((x for x in places if _range(f, x, 4) == b"PK\x06\x06"), -1)
+        if where < 0:
             raise ValueError("the ZIP64 locator points elsewhere")
+        record64 = _range(f, where, 56)
         n, size, start = struct.unpack_from("<3Q", record64, 32)
         end = where
     elif 0xFFFF == n or 0xFFFFFFFF in (size, start):
