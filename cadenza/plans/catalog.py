@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import chords, keys, more, rhythm, sections, sound, structures, vectors
+from cadenza.plans import chords, keys, more, rhythm, sections, signals, sound, structures, vectors
 
-FAMILIES = [keys, chords, rhythm, sound, structures, more, vectors, sections]
+FAMILIES = [keys, chords, rhythm, sound, structures, more, vectors, sections, signals]
 
 
 def queries() -> dict:

@@ -55,6 +55,27 @@ def melody(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("f0", F.lit(440.0) * F.pow(F.lit(2.0), (F.col("midi") - 69) / 12))
 
 
+def onset_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """track (last digit of the user), frame (an hour, 40 to a second of the track) and x: whole values of the hour's events, 0 without any."""
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000))
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 10).cast("long").alias("track"), hour.alias("h"), F.floor("value").alias("v"))
+    sums = rows.groupBy("track", "h").agg(F.sum("v").cast("double").alias("x"))
+    spans = sums.groupBy("track").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    every = spans.select("track", "low", F.explode(F.sequence("low", "high")).alias("h"))
+    return every.join(sums, ["track", "h"], "left").select("track", (F.col("h") - F.col("low")).cast("long").alias("frame"), F.coalesce("x", F.lit(0.0)).alias("x"))
+
+
+def spectrogram(spark: SparkSession, sf_dir: str, bins: int = 64) -> DataFrame:
+    """track (supplier), frame (30 days), bin and power of every bin of every frame, from prices and quantities of ``lineitem``."""
+    frame = F.floor(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")) / 30)
+    place = F.floor((F.col("l_extendedprice") % F.lit(11025.0)) / F.lit(11025.0 / bins))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 8).cast("long").alias("track"), frame.alias("frame"), place.alias("bin"), F.col("l_quantity").cast("double").alias("q"))
+    sums = rows.groupBy("track", "frame", "bin").agg(F.sum("q").alias("power"))
+    spans = sums.groupBy("track").agg(F.max("frame").alias("high"))
+    every = spans.select("track", F.explode(F.sequence(F.lit(0).cast("long"), "high")).alias("frame")).select("track", "frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
+    return every.join(sums, ["track", "frame", "bin"], "left").withColumn("power", F.coalesce("power", F.lit(0.0)))
+
+
 def case_map(column: str, pairs: dict[str, str]) -> Column:
     out = F.lit(None).cast("string")
     for key, value in pairs.items():
@@ -99,6 +120,11 @@ SQL = {
   least(1.0, value / 100) as confidence, (row_number() over (partition by track order by t, event_id) - 1)::int as seq from ev)""",
     "sections": """sections as (select track, t, event_id, case kind when 'signup' then 'intro' when 'view' then 'verse' when 'click' then 'pre_chorus' when 'purchase' then 'chorus' else 'instrumental' end as type,
   value / max(value) over (partition by track) as energy from ev)""",
+    "curve": """hours as (select (user_id % 10)::bigint as track, epoch_us(ts) // 3600000000 as h, sum(floor(value)) as x from events group by all),
+spans as (select track, min(h) as low, max(h) as high from hours group by track),
+curve as (select s.track, r.h - s.low as frame, coalesce(x, 0.0)::double as x from (select track, low, unnest(range(low, high + 1)) as h from spans) r join spans s on s.track = r.track left join hours on hours.track = r.track and hours.h = r.h)""",
+    "cells": """sums as (select (l_suppkey % 8)::bigint as track, datediff('day', date '1995-01-01', l_shipdate::date) // 30 as frame, floor((l_extendedprice % 11025.0) / 172.265625)::bigint as bin, sum(l_quantity)::double as power from lineitem group by all),
+cells as (select g.track, g.frame, b.bin, coalesce(power, 0.0) as power from (select track, unnest(range(0, max(frame) + 1)) as frame from sums group by track) g cross join range(64) b(bin) left join sums on sums.track = g.track and sums.frame = g.frame and sums.bin = b.bin)""",
     "spectrum": """spectrum as (select l_suppkey as track, l_extendedprice % 11025.0 as freq, l_quantity as power from lineitem)""",
 }
 
