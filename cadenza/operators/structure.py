@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import constants as K
+from cadenza.operators.scan import by_block
 from cadenza.operators.series import islands
 
 
@@ -41,6 +42,68 @@ def novelty(frames: DataFrame, k: int) -> DataFrame:
     return rows.select("track", "at", F.coalesce(F.try_divide("x", top), F.lit(0.0)).alias("novelty"))
 
 
+def block_contrast(frames: DataFrame, k: int, size: int = 256) -> DataFrame:
+    """track, frame, change and board: how the k frames before a frame and the k from it on differ.
+
+    ``frames``: track, frame (dense, from 0), v (unit vectors).  Both come from sums over squares of the band of
+    similarities (in 0..1) around a time block, read off a summed-area table: ``change`` is the difference of
+    the mean similarities of both sides, ``board`` the checkerboard sum (both sides less what they have in common),
+    over its cells.  0 where a side is not whole.
+    """
+
+    def run(rows: pd.DataFrame, first: int, last: int) -> pd.DataFrame:
+        frame = rows["frame"].to_numpy()
+        v = np.stack(rows["v"].to_numpy())
+        area = np.pad(np.clip(v @ v.T, 0, 1).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+        own = np.flatnonzero((frame >= first) & (frame < last))
+        whole = (own >= k) & (own < rows["n"].iloc[0] - k - frame[0])
+
+        def square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return area[a + k, b + k] - area[a, b + k] - area[a + k, b] + area[a, b]
+
+        change, board = np.zeros(len(own)), np.zeros(len(own))
+        at = own[whole]
+        before, after, cross = square(at - k, at - k), square(at, at), square(at - k, at)
+        change[whole] = np.abs(before - after) / (k * k)
+        board[whole] = (before + after - 2 * cross) / (4 * k * k)
+        return pd.DataFrame({"track": rows["track"].to_numpy()[own], "frame": frame[own], "change": change, "board": board})
+
+    n = frames.groupBy("track").agg(F.count("*").alias("n"))
+    kind = frames.schema["track"].dataType.simpleString()
+    return by_block(frames.select("track", F.col("frame").cast("long").alias("frame"), "v").join(n, "track"), size, k, k, run, f"track {kind}, frame long, change double, board double")
+
+
+def gaussian(curve: DataFrame, name: str, sigma: float = 2.0) -> DataFrame:
+    """track, frame and the column smoothed by a Gaussian of four deviations to either side; ends are turned over."""
+    half = int(4 * sigma + 0.5)
+    weights = np.exp(-0.5 * (np.arange(-half, half + 1) / sigma) ** 2)
+    weights = (weights / weights.sum()).tolist()
+    sizes = curve.groupBy("track").agg(F.count("*").alias("_n"))
+    rows = curve.select("track", "frame").join(sizes, "track").select("track", "frame", "_n", F.posexplode(F.array(*map(F.lit, weights))).alias("_o", "_w"))
+    turned = F.pmod(F.col("frame") + F.col("_o") - half, 2 * F.col("_n"))
+    rows = rows.withColumn("_q", F.when(turned < F.col("_n"), turned).otherwise(2 * F.col("_n") - 1 - turned))
+    values = curve.select("track", F.col("frame").alias("_q"), name)
+    return rows.join(values, ["track", "_q"]).groupBy("track", "frame").agg(F.sum(F.col("_w") * F.col(name)).alias(name))
+
+
+def over_highest(curve: DataFrame, name: str) -> DataFrame:
+    top = curve.groupBy("track").agg(F.max(F.abs(name)).alias("_top"))
+    return curve.join(top, "track").withColumn(name, F.when(F.col("_top") > 0, F.col(name) / F.col("_top")).otherwise(F.col(name))).drop("_top")
+
+
+def multi_scale_novelty(frames: DataFrame, short: int = 8, long: int = 16, share: float = 0.7) -> DataFrame:
+    """track, frame and novelty (0 to 1): smoothed change at two scales, the longer by ``share``."""
+    both = [over_highest(gaussian(block_contrast(frames, k), "change"), "change").select("track", "frame", F.col("change").alias(f"x{i}")) for i, k in enumerate((short, long))]
+    rows = both[0].join(both[1], ["track", "frame"]).select("track", "frame", (F.col("x0") + share * F.col("x1")).alias("novelty"))
+    return over_highest(rows, "novelty")
+
+
+def board_novelty(frames: DataFrame, k: int) -> DataFrame:
+    """track, frame and novelty (0 to 1): log of the checkerboard sum, where positive."""
+    rows = block_contrast(frames, k).select("track", "frame", F.log1p(F.greatest(F.col("board"), F.lit(0.0))).alias("novelty"))
+    return over_highest(rows, "novelty")
+
+
 def boundary_peaks(curve: DataFrame, distance: int = 4, share: float = 0.7) -> DataFrame:
     """Strict local maxima above the track's ``share`` quantile value, thinned: of two close ones the higher stays."""
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import chords, keys, more, rewriting, rhythm, sections, signals, sound, structures, vectors
+from cadenza.plans import chords, keys, more, passages, rewriting, rhythm, sections, signals, sound, structures, vectors
 
-FAMILIES = [keys, chords, rhythm, sound, structures, more, vectors, sections, signals, rewriting]
+FAMILIES = [keys, chords, rhythm, sound, structures, more, vectors, sections, signals, rewriting, passages]
 
 
 def queries() -> dict:
