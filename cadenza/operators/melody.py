@@ -98,3 +98,21 @@ def stability(notes: DataFrame) -> DataFrame:
     drift = F.least(F.lit(1.0), F.abs(F.try_divide("slope", "mean")) * 100)
     few = F.col("n") < 10
     return found.select("track", F.when(few, 0.0).otherwise(steady).alias("stability"), F.when(few, 0.0).otherwise(F.coalesce(drift, F.lit(0.0))).alias("drift"))
+
+
+def tracked_pitch(pitch: DataFrame, low: int = 36, states: int = 61, penalty: float = 0.2, octave: float = 0.5) -> DataFrame:
+    """track, frame, midi and f0 of a pitch curve (f0; null or 0 where unvoiced) after octave jumps are taken out.
+
+    Hidden states are the semitones from ``low`` on.  A frame speaks for its own semitone with 1 and, as
+    autocorrelation errs by octaves, for those an octave off with ``octave``; the path with the highest sum less
+    ``penalty`` per semitone moved is taken.  Unvoiced frames are null, and hold the path in between.
+    """
+    from cadenza.operators.scan import best_path
+
+    midi = F.rint(69 + 12 * F.log2(F.when(F.col("f0") > 0, F.col("f0")) / 440.0))
+    rows = pitch.select("track", F.col("frame").cast("long").alias("frame"), midi.alias("m"))
+    off = lambda k: F.abs(F.col("m") - low - k)
+    heard = F.transform(F.sequence(F.lit(0), F.lit(states - 1)), lambda k: F.coalesce(F.when(off(k) == 0, 1.0).when(off(k) == 12, octave), F.lit(0.0)))
+    found = best_path(rows.select("track", "frame", heard.alias("v")), penalty).join(rows, ["track", "frame"])
+    note = F.when(F.col("m").isNotNull(), F.col("state") + low)
+    return found.select("track", "frame", note.cast("long").alias("midi"), (440.0 * F.pow(F.lit(2.0), (note - 69) / 12)).alias("f0"))

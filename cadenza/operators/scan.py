@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 4096
+DIGITS = 9  # sums that agree so far are equal
 
 Summary = list[float]
 
@@ -69,7 +70,8 @@ def carried(
             found = np.asarray(found, float)
             state = start(found) if k == 0 else state
             states.append(np.asarray(state, float).tolist())
-            state = step(state, found)
+            if k + 1 < len(rows):
+                state = step(state, found)
         return pd.DataFrame({"track": rows["track"], "block": rows["block"], "state": states})
 
     def again(key: tuple, rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
@@ -181,6 +183,8 @@ def best_path(scores: DataFrame, penalty: float, size: int = BLOCK) -> DataFrame
     def summarise(rows: pd.DataFrame) -> Summary:
         v = np.stack(rows["v"].to_numpy())
         n = v.shape[1]
+        if len(v) < size:  # the last block: nothing enters another one from it
+            return [n]
         move, m = costs(n), None
         for row in v:
             one = move + row[None, :]
@@ -199,7 +203,7 @@ def best_path(scores: DataFrame, penalty: float, size: int = BLOCK) -> DataFrame
         totals, links = np.empty(v.shape), np.empty(v.shape, np.int64)
         for k, row in enumerate(v):
             ways = state[:, None] + move
-            links[k] = ways.argmax(axis=0)
+            links[k] = np.round(ways, DIGITS).argmax(axis=0)
             state = totals[k] = ways.max(axis=0) + row
         return pd.DataFrame({"track": rows["track"], "frame": rows["frame"], "totals": totals.tolist(), "links": links.tolist()})
 
@@ -210,7 +214,7 @@ def best_path(scores: DataFrame, penalty: float, size: int = BLOCK) -> DataFrame
         now = np.arange(len(rows["links"].iloc[0]))
         for link in rows["links"]:
             now = np.asarray(link)[now]
-        return [int(np.argmax(rows["totals"].iloc[0])), *now]
+        return [int(np.argmax(np.round(rows["totals"].iloc[0], DIGITS))), *now]
 
     def walk(rows: pd.DataFrame, state: np.ndarray) -> pd.DataFrame:
         now, out, total = int(state[0]), [], []

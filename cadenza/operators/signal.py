@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators import tempo
-from cadenza.operators.scan import BLOCK, Summary, by_block, carried, in_blocks, times
+from cadenza.operators.scan import BLOCK, DIGITS, Summary, by_block, carried, in_blocks, times
 from cadenza.session import materialise
 
 # ---- autocorrelation
@@ -193,9 +193,6 @@ def local_scores(onsets: DataFrame, tempi: DataFrame, rate: float, least_bpm: fl
     return by_block(rows, size, halo, halo, run, f"track {kind}, frame long, period long, score double")
 
 
-DIGITS = 9  # sums that agree so far are equal; the earliest of equal ways is taken
-
-
 def _advance(scores: np.ndarray, period: int, tightness: float, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best sums up to each frame, after those of the two periods before (a column per entry), and how far back each looks."""
     offsets = np.arange(-2 * period, -round(period / 2) + 1)
@@ -214,7 +211,7 @@ def _advance(scores: np.ndarray, period: int, tightness: float, state: np.ndarra
 def beat_links(scores: DataFrame, tightness: float = 100.0, size: int = BLOCK) -> DataFrame:
     """track, frame, score, total and link: the best sum of scores of beats up to a frame, and the beat before it (-1: none).
 
-    A beat costs ``tightness`` times the squared log of its distance from a period.  A block is a max-plus
+    Of equal ways back the longest is taken.  A beat costs ``tightness`` times the squared log of its distance from a period.  A block is a max-plus
     matrix over the sums of the two periods before it.
     """
     first = scores.groupBy("track").agg((F.max("score") * 0.01).alias("_least"))
@@ -223,6 +220,8 @@ def beat_links(scores: DataFrame, tightness: float = 100.0, size: int = BLOCK) -
 
     def summarise(rows: pd.DataFrame) -> Summary:
         p = int(rows["period"].iloc[0])
+        if len(rows) < size:  # the last block: nothing enters another one from it
+            return [p]
         entries = np.where(np.eye(2 * p, dtype=bool), 0.0, -np.inf)
         sums, _ = _advance(rows["score"].to_numpy(), p, tightness, entries)
         return [p, *sums[-2 * p :].T.ravel()]

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import passages as A
 from cadenza.operators import structure as T
+from cadenza.operators import timbre
 from cadenza.operators.series import round6
 from cadenza.plans.structures import frame_vectors
+from cadenza.session import table
 from cadenza.sources import bindings as B
 
 NUMBERS = ("energy", "centroid", "rolloff", "zcr", "bandwidth", "jump_rate", "complexity", "harmonic_content", "rhythm_density", "voiced_ratio", "first_peak")
@@ -38,7 +40,30 @@ def novelty_checkerboard(spark, sf_dir):
     return T.board_novelty(_vectors(spark, sf_dir), 8).select("track", "frame", *round6("novelty"))
 
 
-QUERIES = [section_characteristics, section_outros, novelty_multi_scale, novelty_checkerboard]
+def _timbre(spark, sf_dir):
+    """Frames by supplier; coefficients and contrast from the dimensions of the embeddings of the same digit."""
+    frames = B.sounding(spark, sf_dir).select("track", (F.col("rms") / 8).alias("rms"), (F.col("zcr") * 4).alias("flatness"), "bandwidth")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("track"), F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "v"))
+    mfcc = rows.filter("k between 13 and 25").select("track", (F.col("k") - 13).alias("k"), (F.col("v") * 4).alias("v"))
+    return frames, mfcc, B.chroma_frames(spark, sf_dir).withColumn("track", F.col("track").cast("long")), rows.filter("k > 57").select("track", F.abs(F.col("v") * 30).alias("v"))
+
+
+def timbre_warmth(spark, sf_dir):
+    return timbre.warmth(_timbre(spark, sf_dir)[1]).select("track", *round6("warmth"))
+
+
+def timbre_density(spark, sf_dir):
+    return timbre.density(_timbre(spark, sf_dir)[0]).select("track", *round6("density"))
+
+
+SCORES = ("smoothness", "richness", "clarity", "fullness", "spectral_complexity", "harmonic_richness", "temporal_stability", "timbral_consistency")
+
+
+def timbre_texture_scores(spark, sf_dir):
+    return timbre.texture(*_timbre(spark, sf_dir)).select("track", *round6(*SCORES))
+
+
+QUERIES = [timbre_warmth, timbre_density, timbre_texture_scores, section_characteristics, section_outros, novelty_multi_scale, novelty_checkerboard]
 
 _HELD = f"""{B.with_sql('sounding')}, held as (select f.*, s.seq from sounding f join quarters s on s.track = f.track and f.t >= s.start and f.t < s.stop)"""
 _SIMS = f"""{B.with_sql('frames')}, fr as (select track, dense_rank() over (partition by track order by frame) - 1 as frame, pc, v from frames), sizes as (select track, max(frame) + 1 as n from fr group by track),
@@ -58,7 +83,15 @@ soft{k} as (select t.track, t.frame, sum(g * abs(a - b)) / sum(g) as x from turn
 top{k} as (select track, frame, case when max(x) over (partition by track) > 0 then x / max(x) over (partition by track) else x end as x from soft{k})"""
 
 
+_EMB = """emb as (select label::bigint as track, vec_id, k - 1 as k, embedding[k]::double as v from embeddings, range(1, 65) r(k)), mf as (select track, k - 13 as k, v * 4 as v from emb where k between 13 and 25)"""
 SQL = {
+    "timbre_warmth": f"""with {_EMB}, m as (select track, 1 / (1 + exp(-avg(v) filter (k between 1 and 3))) + case when avg(v) filter (k between 4 and 7) > -5 then 0.2 else 0 end as w from mf group by track)
+select track, round(case when least(1.0, w) < 0.3 then 0.3 + least(1.0, w) * 0.4 else least(1.0, w) end, 6)::double as warmth from m""",
+    "timbre_density": f"{B.with_sql('sounding')} select track, round(least(1.0, (avg(zcr * 4) + least(1.0, avg(rms / 8) * 5)) / 2), 6)::double as density from sounding group by track",
+    "timbre_texture_scores": f"""{B.with_sql('sounding', 'frames')}, {_EMB}, l as (select track, avg(zcr * 4) as f, avg(bandwidth) as b, avg(rms / 8) as r, stddev_pop(rms / 8) as s from sounding group by track), m as (select track, stddev_pop(v) as ms from mf group by track),
+e as (select track, avg(s) as me from (select track, k, stddev_pop(v) as s from mf group by track, k) group by track), c as (select track::bigint as track, stddev_pop(v) as cs from frames group by track), k as (select track, avg(abs(v * 30)) as kk from emb where k > 57 group by track)
+select track, round(1 - f, 6) as smoothness, round(least(1.0, b / 5000), 6)::double as richness, round(least(1.0, kk / 30), 6)::double as clarity, round(least(1.0, r * 10), 6)::double as fullness, round(least(1.0, ms / 10), 6)::double as spectral_complexity,
+  round(least(1.0, cs / 2), 6)::double as harmonic_richness, round(1 - least(1.0, s / (r + 1e-8)), 6)::double as temporal_stability, round(1 - least(1.0, me / 10), 6)::double as timbral_consistency from l join m using (track) join e using (track) join c using (track) join k using (track)""",
     "section_characteristics": f"""{_HELD}, steps as (select track, seq, abs(12 * log2(f0 / 440) - lag(12 * log2(f0 / 440)) over (partition by track, seq order by t, frame)) as d from held where f0 > 0),
 jumps as (select track, seq, coalesce(count(*) filter (d > 2) / nullif(count(d), 0), 0) as rate from steps group by track, seq),
 m as (select track, seq, avg(rms * rms) as energy, avg(centroid) as centroid, avg(rolloff) as rolloff, avg(zcr) as zcr, avg(bandwidth) as bandwidth, avg(q * q / 16384) / (avg(rms * rms) + 1e-8) as h, avg(bandwidth) / (avg(centroid) + 1e-8) as cx, count(*) filter (q > 45) as n from held group by track, seq)

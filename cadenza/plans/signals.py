@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.operators import scan
+from cadenza.operators import melody, scan
 from cadenza.operators import signal as G
 from cadenza.operators.series import round6
 from cadenza.plans import chords as chord_plans
@@ -67,6 +67,13 @@ def pitch_path(spark, sf_dir):
     return scan.best_path(rows, PENALTY, 32).select("track", "frame", "state", *round6("total"))
 
 
+def melody_tracked_pitch(spark, sf_dir):
+    """Notes of a user in order; those of errors are unvoiced."""
+    rows = B.melody(spark, sf_dir)
+    order = (F.row_number().over(Window.partitionBy("track").orderBy("t", "event_id")) - 1).cast("long")
+    return melody.tracked_pitch(rows.select("track", order.alias("frame"), F.when(F.col("voiced"), F.col("f0")).alias("f0"))).select("track", "frame", "midi", *round6("f0"))
+
+
 def spectrogram_parts(spark, sf_dir):
     return G.parted(B.spectrogram(spark, sf_dir), size=32).select("track", "frame", "bin", *round6("harmonic", "percussive"))
 
@@ -80,7 +87,7 @@ def chroma_tonnetz(spark, sf_dir):
 
 
 QUERIES = [
-    signal_highpass, signal_autocorrelation, rhythm_polyrhythm, melody_vibrato, timbre_reverb, tempo_frames, tempo_detected, beat_track, pitch_path, spectrogram_parts,
+    signal_highpass, signal_autocorrelation, rhythm_polyrhythm, melody_vibrato, timbre_reverb, tempo_frames, tempo_detected, beat_track, pitch_path, melody_tracked_pitch, spectrogram_parts,
     timbre_contrast, chroma_tonnetz,
 ]
 
@@ -112,6 +119,15 @@ def _recurrence(source: str, name: str, way: int) -> str:
 {name} as (select p.track, p.k, p.y as x from {name}_r p join {source} s on s.track = p.track and s.k = p.k)"""
 
 
+def _path(n: int, penalty: float) -> str:
+    """The best path over ``vs`` (track, frame, v), as ``walk``."""
+    return f"""dp(track, frame, totals, links) as (select distinct track, -1, list_transform(range({n}), lambda i: 0.0::double), []::bigint[] from vs
+  union all select track, frame, list_transform(range(1, {n + 1}), lambda j: list_max(ways[j]) + v[j]), list_transform(range(1, {n + 1}), lambda j: list_position(list_transform(ways[j], lambda x: round(x, 9)), round(list_max(ways[j]), 9)) - 1)
+  from (select s.track, s.frame, s.v, list_transform(range({n}), lambda j: list_transform(range({n}), lambda i: totals[i + 1] - {penalty}::double * abs(i - j))) as ways from dp join vs s on s.track = dp.track and s.frame = dp.frame + 1)),
+walk(track, frame, state, total) as (select track, frame, list_position(list_transform(totals, lambda x: round(x, 9)), round(list_max(totals), 9)) - 1, list_max(totals) from (select * from dp qualify frame = max(frame) over (partition by track))
+  union all select d.track, d.frame, n.links[w.state + 1], d.totals[n.links[w.state + 1] + 1] from walk w join dp n on n.track = w.track and n.frame = w.frame join dp d on d.track = w.track and d.frame = w.frame - 1 where d.frame >= 0)"""
+
+
 B4, A4 = B4.tolist(), A4.tolist()
 _P = round(60 * RATE / BPM)
 _COST = f"list_transform(range(-{2 * _P}, {1 - round(_P / 2)}), lambda o: -100 * ln(-o / {float(_P)}::double) ** 2)"
@@ -163,13 +179,11 @@ smooth as (select w.track, w.frame, s + (coalesce(lag(s) over o, 0) + coalesce(l
 graded as (select *, sqrt(avg(g * g) over (partition by track)) / 2 as least_g from smooth), bounds as (select track, min(frame) as a, max(frame) as b from graded where g > least_g group by track)
 select g.track, g.frame::bigint as frame, g.frame / {RATE}::double as t, row_number() over (partition by g.track order by g.frame) - 1 as beat from graded g join bounds on bounds.track = g.track and g.frame between a and b""",
     "pitch_path": f"""{B.with_sql('frames').replace('with ', 'with recursive ', 1)}, fr as (select track, dense_rank() over (partition by track order by frame) - 1 as frame, pc, v from frames),
-vs as (select track, frame, list(v order by pc) as v from fr group by all),
-dp(track, frame, totals, links) as (select distinct track, -1, list_transform(range(12), lambda i: 0.0::double), []::bigint[] from vs
-  union all select track, frame, list_transform(range(1, 13), lambda j: list_max(ways[j]) + v[j]), list_transform(range(1, 13), lambda j: list_position(ways[j], list_max(ways[j])) - 1)
-  from (select s.track, s.frame, s.v, list_transform(range(12), lambda j: list_transform(range(12), lambda i: totals[i + 1] - {PENALTY}::double * abs(i - j))) as ways from dp join vs s on s.track = dp.track and s.frame = dp.frame + 1)),
-walk(track, frame, state, total) as (select track, frame, list_position(totals, list_max(totals)) - 1, list_max(totals) from (select * from dp qualify frame = max(frame) over (partition by track))
-  union all select d.track, d.frame, n.links[w.state + 1], d.totals[n.links[w.state + 1] + 1] from walk w join dp n on n.track = w.track and n.frame = w.frame join dp d on d.track = w.track and d.frame = w.frame - 1 where d.frame >= 0)
+vs as (select track, frame, list(v order by pc) as v from fr group by all), {_path(12, PENALTY)}
 select track, frame::bigint as frame, state::bigint as state, round(total, 6) as total from walk""",
+    "melody_tracked_pitch": f"""{B.with_sql('ev', 'melody').replace('with ', 'with recursive ', 1)}, notes as (select track, row_number() over (partition by track order by t, event_id) - 1 as frame, case when voiced then round_even(69 + 12 * log2(f0 / 440), 0) end as m from melody),
+vs as (select track, frame, list_transform(range(61), lambda k: case when abs(m - 36 - k) = 0 then 1.0 when abs(m - 36 - k) = 12 then 0.5 else 0.0 end::double) as v from notes), {_path(61, 0.2)}
+select w.track, w.frame::bigint as frame, case when m is not null then state + 36 end::bigint as midi, case when m is not null then round(440 * pow(2.0, (state + 36 - 69) / 12), 6) end::double as f0 from walk w join notes n on n.track = w.track and n.frame = w.frame""",
     "spectrogram_parts": f"""{B.with_sql('cells')}, sizes as (select track, max(frame) + 1 as n from cells group by track),
 tq as (select track, q, n, ((q % (2 * n)) + 2 * n) % (2 * n) as m from (select track, n, unnest(range(-15, n + 15)) as q from sizes)),
 th as (select t.track, c.bin, q, c.power from (select track, q, {_MIRROR} as frame from tq) t join cells c on c.track = t.track and c.frame = t.frame),
