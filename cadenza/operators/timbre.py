@@ -17,7 +17,7 @@ BANDWIDTH, CONTRAST, LEVEL, SPREAD, CHROMA = 5000.0, 30.0, 10.0, 10.0, 2.0
 
 
 def _most(x: Column) -> Column:
-    return F.least(F.lit(1.0), x)
+    return F.when(x > 1, 1.0).otherwise(x)  # null stays null
 
 
 def warmth(mfcc: DataFrame) -> DataFrame:
