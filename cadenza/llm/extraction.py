@@ -6,10 +6,14 @@ pages of the same host are then aligned one after the other: texts that differ
 become text slots, texts that agree stay template text, and what only some pages
 have becomes an optional group.  The result is the host's wrapper, an expression
 whose nodes have roles: template (the same on every sampled page with its path,
-three at least), article slot or other slot.  A page is read by aligning its
+three at least, and not within the article), article slot or other slot.  A page is read by aligning its
 stream with the expression: texts of article slots come out, template texts and
 other slots do not; blocks without a node are judged by where they stand.
 
+What every article of a host says (a heading, a licence line) is article text: constant
+texts below an article's root are slots like others.  Only where no holder but the page itself
+is the root does constant text there count as template.
+
 Article slots follow from the wrapper: the holders of the article element, or else
 the smallest holder with most of the varying prose of the sampled pages (linked
 text is no prose), without navigation, footers, asides and forms.  Class names only
@@ -27,7 +31,8 @@ where hosts with many pages are dealt to several tasks.
 
 Edge cases: null html counts as empty and gives an empty text.  Null or odd urls
 share the host ''.  A host with one or two pages has a wrapper without template text.
-A page all of whose admitted text is template text keeps it.  Elements that are
+A page all of whose admitted text is template text keeps it.  A page_id that repeats is
+learned from once.  Elements that are
 never closed hide nothing but their own tag, scripts and styles excepted.
 Repeated rows keep their rows.  Empty tables give empty results.  Extra columns
 are ignored.
@@ -57,8 +62,11 @@ BROADCAST_BYTES = 16 << 20
 HOT_PAGES = 10_000  # pages of a host that one task reads where wrappers are joined
 HIDDEN = frozenset("script style noscript template svg iframe textarea select button title object canvas".split())
 RAW = frozenset(("script", "style"))  # hide the rest of the page where they are not closed
+#: Comments, tags and declarations.  A quote counts after an equals sign only, and outside quotes a tag gives up at the
+#: next "<" (the second form then takes what stands before the first ">"), so that no scan goes over many tags.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|</?[a-z][^>]*>|<[!?/][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9-]*)(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*+)>"
+    r"|<(?P<cut>/?)(?P<name>[a-z][a-z0-9-]*)[^>]*>|<[!?/][^>]*>",
     re.S | re.I,
 )
 CLOSERS = re.compile(rf"</({'|'.join(sorted(HIDDEN))})\b[^>]*>", re.I)
@@ -115,17 +123,21 @@ def blocks(page: str) -> list[Block]:
             found.append(Block(">".join(name for _, name in stack) + "|" + own, text, min(linked, len(text))))
         linked = 0
 
-    for m in TOKEN.finditer(page):
+    whole = page.rfind(">") + 1  # nothing after this can be a tag; a comment may begin there
+    comment = page.find("<!--", whole)
+    for m in TOKEN.finditer(page, 0, whole):
         if m.start() < at:  # inside a hidden element
             continue
         parts.append(page[at : m.start()])
         linked += (m.start() - at) * (anchors > 0)
         at = m.end()
-        tag = (m["tag"] or "").lower()
-        if tag in HIDDEN and not m["end"]:
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):  # never closed
+            at = comment = len(page)
+        tag, end = (m["tag"] or m["name"] or "").lower(), m["end"] or m["cut"]
+        if tag in HIDDEN and not end:
             if closers is None:
                 closers = defaultdict(list)
-                for c in CLOSERS.finditer(page):
+                for c in CLOSERS.finditer(page, 0, whole):
                     closers[c[1].lower()].append(c.span())
             k = bisect_left(closers[tag], (at, 0))
             if k < len(closers[tag]):
@@ -137,14 +149,14 @@ def blocks(page: str) -> list[Block]:
         if tag == "br":
             parts.append(" ")
         if tag == "a":
-            anchors = 0 if m["end"] else 1
+            anchors = 0 if end else 1
         if tag not in BLOCKS:
             continue
         close()
         anchors = 0
         if tag not in HOLDERS:
-            own = "" if m["end"] else tag
-        elif not m["end"]:
+            own = "" if end else tag
+        elif not end:
             stack.append((tag, holder(tag, m["attrs"] or "")))
             held[tag] += 1
             own = ""
@@ -154,8 +166,9 @@ def blocks(page: str) -> list[Block]:
                 gone = stack.pop()[0]
                 held[gone] -= 1
             own = ""
-    parts.append(page[at:])
-    linked += (len(page) - at) * (anchors > 0)
+    rest = page[at : comment if comment >= 0 else len(page)]
+    parts.append(rest)
+    linked += len(rest) * (anchors > 0)
     close()
     return found
 
@@ -193,6 +206,11 @@ class Layout:
             return own in HEADINGS and not self.article and self.free(prefixes, tags, 0) and any(r.startswith((prefixes[-1] if prefixes else "") + ">") for r in self.roots)
         return self.free(prefixes, tags, 0 if at is None else at)
 
+    def inside(self, path: str) -> bool:
+        """Whether the path is of the article and below a root that is more than the page itself."""
+        prefixes, tags, _, _ = place(path)
+        return self.holds(path) and any(p in self.roots and t not in UNMARKED for p, t in zip(prefixes, tags, strict=True))
+
     def free(self, prefixes: tuple[str, ...], tags: tuple[str, ...], at: int) -> bool:
         """Nothing from the root down is outside an article."""
         heads = () if self.article or any(t not in UNMARKED for t in tags[:at]) else ("header",)
@@ -364,6 +382,7 @@ def infer(pages: list[str]) -> dict:
         nodes += by_path.items()
     template = {(path, text) for path, texts in nodes for text in texts}
     at = layout([b for b in varying if (b.path, b.text) not in template])
+    nodes = [(path, [] if at.inside(path) else texts) for path, texts in nodes]  # what every article says is part of it
     roles = [[path, "template" if texts else "article" if at.holds(path) else "other", texts] for path, texts in nodes]
     return {"expression": " ".join(map(str, wrapper or [])), "nodes": roles, "roots": sorted(at.roots), "out": sorted(at.out), "article": at.article}
 
@@ -443,7 +462,8 @@ def wrappers(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, broadcast_bytes
         found = infer([h or "" for h in rows["html"]])
         return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(found, ensure_ascii=False)]})
 
-    return sample.select("host", "page_id", "html").groupBy("host").applyInPandas(run, "host string, wrapper string")
+    once = sample.groupBy("host", "page_id").agg(F.min("html").alias("html"))  # an id may repeat without bound
+    return once.groupBy("host").applyInPandas(run, "host string, wrapper string")
 
 
 def main_texts(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, broadcast_bytes: int = BROADCAST_BYTES, hot_pages: int = HOT_PAGES) -> DataFrame:
