@@ -128,8 +128,13 @@ def near_words(words: DataFrame) -> DataFrame:
     keys = materialise(keyed(words), "variants-keys")
     other = keys.select("key", *[F.col(c).alias(f"other_{c}") for c in ("id", "length", "n", "word")])
     close = (F.col("id") != F.col("other_id")) & (F.abs(F.col("length") - F.col("other_length")) <= 1)
-    pairs = keys.join(other, "key").filter(close).select("id", "n", "word", "other_id", "other_n", "other_word")
-    long = pairs.filter("word is null or other_word is null").drop("word", "other_word")
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(right, "key").filter(close).select("id", "n", "word", "other_id", "other_n", "other_word")
+
+    pairs = met(keys, other)
+    edge = met(keys.filter(F.col("length") >= INLINE), other.filter(F.col("other_length") >= INLINE))  # lengths differ by one at most
+    long = edge.filter("word is null or other_word is null").drop("word", "other_word")
     long = long.join(words.select("id", "word"), "id").join(words.select(F.col("id").alias("other_id"), F.col("word").alias("other_word")), "other_id")
     both = pairs.filter("word is not null and other_word is not null").unionByName(long)
     return both.filter(F.levenshtein("word", "other_word", 1) == 1).select("id", "n", F.col("other_word").alias("other"), "other_n")
