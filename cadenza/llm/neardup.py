@@ -263,8 +263,12 @@ def sketch(text: str | None, words_per_shingle: int) -> tuple[int, np.ndarray]:
     return xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), 42), low
 
 
+def text_hash() -> F.Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def sketches(docs: DataFrame, words_per_shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, node (digest of the text), fp, keys (one per band) and mark (a byte per minimum)."""
+    """doc_id, node (digest of the words), text_hash, fp, keys (one per band) and mark (a byte per minimum)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -279,10 +283,10 @@ def sketches(docs: DataFrame, words_per_shingle: int = SHINGLE) -> DataFrame:
                     column.append(value)
             signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in rows[:2]]
             keys = pa.array(np.array(rows[2], np.uint64).view(np.int64).reshape(-1, BANDS).tolist(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *signed, keys, pa.array(rows[3], pa.binary())], names=["doc_id", "node", "fp", "keys", "mark"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *signed, keys, pa.array(rows[3], pa.binary())], names=["doc_id", "node", "fp", "keys", "mark"]).append_column("text_hash", batch.column(2))
 
-    schema = "doc_id long, node long, fp long, keys array<long>, mark binary"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    schema = "doc_id long, node long, fp long, keys array<long>, mark binary, text_hash long"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("text_hash")).mapInArrow(run, schema)
 
 
 def candidates(fps: np.ndarray, marks: np.ndarray, roots: np.ndarray, owned_before: np.ndarray, tree: np.ndarray, queries: np.ndarray, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -381,7 +385,7 @@ def settled(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, words_per_shingle: int = SHINGLE, similarity: float = SIMILARITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id and component_id (the smallest id) by shared word shingles, per row.
+    """doc_id, text_hash, component_id (the smallest id) and root (a component's own number) by shared word shingles, per row.
 
     Shards of the BK-trees are texts that share a band of minima.  SKETCH minima
     estimate the resemblance (standard error 0.025 at 0.8); pairs whose estimate is in
@@ -435,11 +439,29 @@ def similar_documents(docs: DataFrame, words_per_shingle: int = SHINGLE, similar
         further = materialise(found.filter("u is null").select(*group).distinct(), "further")
     grouped = classes.join(roots, "node", "left").select("node", "first_id", "n", F.coalesce("root", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = materialise(grouped.join(least, "root").select("node", "n", "component_id"), "names")
-    return named_rows(marked.select("doc_id", "node"), named, "node").select("doc_id", "component_id")
+    named = materialise(grouped.join(least, "root").select("node", "n", "component_id", "root"), "names")
+    return named_rows(marked.select("doc_id", "node", "text_hash"), named, "node").select("doc_id", "text_hash", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, grouped: DataFrame) -> DataFrame:
-    """``docs`` without those whose component has a smaller id; rows without an id stay."""
-    extra = grouped.filter("doc_id <> component_id").select(F.col("doc_id").alias("_extra")).distinct()
-    return docs.join(extra, docs["doc_id"] == extra["_extra"], "left_anti")
+    """One row of each component of ``grouped`` (what ``similar_documents`` says of ``docs``).
+
+    It is a row with the smallest id (an id before none), and of several texts under that id the one with the
+    smallest digest.  A row is known by its id and text together, so that an id with a copy and a unique text
+    loses the copy only; of equal ids with equal texts one row stays, whatever their other columns.
+    """
+    rows = grouped.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    best = rows.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
+    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    told = materialise(named_rows(rows, materialise(best, "best-rows"), "root").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), same.alias("_stays"), "copies"), "told-rows")
+    marked = docs.withColumn("_own", text_hash())
+
+    def meets(other: DataFrame) -> F.Column:
+        return docs["doc_id"].cast("long").eqNullSafe(other["_id"]) & (marked["_own"] == other["_text"])
+
+    gone, repeated = told.filter("not _stays").select("_id", "_text"), materialise(told.filter("_stays and copies > 1").select("_id", "_text"), "repeated-rows")
+    kept = marked.join(gone, meets(gone), "left_anti")
+    if not repeated.head(1):
+        return kept.drop("_own")
+    once = kept.join(repeated, meets(repeated), "left_semi").dropDuplicates(["doc_id", "_own"])
+    return kept.join(repeated, meets(repeated), "left_anti").unionByName(once).drop("_own")
