@@ -35,7 +35,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     for r in found:
         pieces.setdefault(r["doc_id"], []).append(r["length"])
     kept = [i for i in range(240) if i % 3]
-    assert set(pieces) == {None, *kept, 500, 520, 530}  # toxic, copies and leaks are gone; a row without an id stays
+    assert set(pieces) == {*kept, 500, 520, 530}  # toxic, copies (that without an id, too) and leaks are gone
     texts_of = dict(rows)
     for i in (*kept, 500, 530):
         assert sum(pieces[i]) == len(reference_ids(texts_of[i])) + 1
