@@ -66,23 +66,6 @@ def scaler(spark, sf_dir):
     return S.scaled(B.vectors(spark, sf_dir)).select("vec_id", "dim", *round6("x"))
 
 
-def _top(spark, sf_dir, measure):
-    rows = B.vectors(spark, sf_dir)
-    return S.top_k(rows, rows.filter("vec_id % 50 = 0"), measure).select("target", "vec_id", F.col("rank").cast("long").alias("rank"), *round6("similarity"))
-
-
-def similarity_topk_cosine(spark, sf_dir):
-    return _top(spark, sf_dir, S.cosine)
-
-
-def similarity_topk_euclidean(spark, sf_dir):
-    return _top(spark, sf_dir, S.euclidean)
-
-
-def similarity_topk_weighted(spark, sf_dir):
-    return _top(spark, sf_dir, S.weighted)
-
-
 def _nearest(spark, sf_dir, measure):
     """The query set of searches: every id divisible by 20, against all rows."""
     rows = B.vectors(spark, sf_dir)
@@ -133,7 +116,7 @@ def production_notes(spark, sf_dir):
 
 QUERIES = [
     ssm_band, novelty, boundary_peaks, boundary_snap, repetition_pairs, repetition_greedy, section_energy_class, section_prechorus_runs, section_chorus_chain, section_form,
-    scaler, similarity_topk_cosine, similarity_topk_euclidean, similarity_topk_weighted, similarity_nearest_cosine, similarity_nearest_euclidean, similarity_nearest_weighted, similarity_matrix, pca_scores, reference_tags, production_notes,
+    scaler, similarity_nearest_cosine, similarity_nearest_euclidean, similarity_nearest_weighted, similarity_matrix, pca_scores, reference_tags, production_notes,
 ]
 
 _FV = f"{B.with_sql('frames')}, fv as (select track, dense_rank() over (partition by track order by frame) - 1 as idx, v from (select track, frame, list(v order by pc) as v from frames group by all)), lens as (select track, max(idx) + 1 as n from fv group by track)"
@@ -147,7 +130,7 @@ cells as (select track, i, j, unnest(range(0, 6)) as k from seconds),
 reps as (select c.track, i::int as i, j::int as j, avg(greatest(0.0, least(1.0, list_dot_product(a.v, b.v)))) as similarity from cells c join fv a on a.track = c.track and a.idx = c.i + c.k join fv b on b.track = c.track and b.idx = c.j + c.k group by all having similarity > 0.45)"""
 
 
-def _top_sql(measure: str, each: int = 50) -> str:
+def _top_sql(measure: str, each: int = 20) -> str:
     return f"""with {_VEC}, s as (select q.vec_id as target, x.vec_id, round({measure}, 9) as s from v q join v x on x.vec_id <> q.vec_id where q.vec_id % {each} = 0)
 select target, vec_id, row_number() over (partition by target order by s desc, vec_id) as rank, round(s, 6) as similarity from s qualify rank <= 10"""
 
@@ -183,12 +166,9 @@ select track, seq, trend, case when energy >= p90 then 'chorus' when energy >= p
     "section_form": f"""{_SEC} select track, string_agg(case type when 'intro' then 'I' when 'verse' then 'A' when 'pre_chorus' then 'R' when 'chorus' then 'B' else 'D' end, '' order by seq) as form, count(distinct type) as n_types, count(*) as n, round(1 - count(distinct type) / count(*), 6) as repetition from so group by track""",
     "scaler": f"""with {_VEC}, x as (select vec_id, unnest(v) as x, generate_subscripts(v, 1) - 1 as dim from v), s as (select dim, avg(x) as m, stddev_pop(x) as sd from x group by dim)
 select vec_id, dim::int as dim, round((x - m) / case when sd = 0 then 1 else sd end, 6) as x from x join s using (dim)""",
-    "similarity_topk_cosine": _top_sql("list_cosine_similarity(q.v, x.v)"),
-    "similarity_topk_euclidean": _top_sql("greatest(0.0, 1 - list_distance(q.v, x.v) / sqrt(len(q.v)))"),
-    "similarity_topk_weighted": _top_sql(_WEIGHTED),
-    "similarity_nearest_cosine": _top_sql("list_cosine_similarity(q.v, x.v)", 20),
-    "similarity_nearest_euclidean": _top_sql("greatest(0.0, 1 - list_distance(q.v, x.v) / sqrt(len(q.v)))", 20),
-    "similarity_nearest_weighted": _top_sql(_WEIGHTED, 20),
+    "similarity_nearest_cosine": _top_sql("list_cosine_similarity(q.v, x.v)"),
+    "similarity_nearest_euclidean": _top_sql("greatest(0.0, 1 - list_distance(q.v, x.v) / sqrt(len(q.v)))"),
+    "similarity_nearest_weighted": _top_sql(_WEIGHTED),
     "similarity_matrix": f"with {_VEC} select p.vec_id as a, q.vec_id as b, round(list_cosine_similarity(p.v, q.v), 6) as similarity from v p join v q on p.vec_id < q.vec_id",
     "reference_tags": f"""with {_ATTR} select track, concat_ws(',', case when bpm < 80 then 'slow-tempo' when bpm < 120 then 'mid-tempo' when bpm < 140 then 'upbeat' else 'fast-tempo' end, case when contains(key, 'Major') then 'major-key' else 'minor-key' end,
   case when signature <> '4/4' then 'time-sig-' || replace(signature, '/', '-') end, case when groove <> 'straight' then groove end, case when syncopation > 0.5 then 'syncopated' end, case when complexity > 0.7 then 'complex-structure' when complexity < 0.3 then 'simple-structure' end,
