@@ -81,7 +81,7 @@ def sounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, price = F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double")
     return table(spark, sf_dir, "lineitem").select(
         (F.col("l_suppkey") % 10).cast("long").alias("track"), F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("double").alias("t"),
-        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 64 + q).cast("long").alias("frame"), (q / 64).alias("rms"), (F.col("l_tax").cast("double") * 2).alias("zcr"), (price % 6000).alias("centroid"),
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 64 + q).cast("long").alias("frame"), (q / 64).alias("rms"), (F.col("l_tax").cast("double") * 2 + 0.00137).alias("zcr"), (price % 6000).alias("centroid"),
         (price % 9000).alias("rolloff"), (price % 1500).alias("bandwidth"), F.when(F.col("l_discount") > 0.02, 110 * F.pow(F.lit(2.0), q * 0.7 / 12)).alias("f0"), (q * q / 16384).alias("harmonic"), (q > 45).alias("onset"),
         (F.col("l_partkey") % 12).cast("long").alias("pc"),
     )
@@ -143,7 +143,7 @@ spans as (select track, min(h) as low, max(h) as high from hours group by track)
 curve as (select s.track, r.h - s.low as frame, coalesce(x, 0.0)::double as x from (select track, low, unnest(range(low, high + 1)) as h from spans) r join spans s on s.track = r.track left join hours on hours.track = r.track and hours.h = r.h)""",
     "cells": """sums as (select (l_suppkey % 8)::bigint as track, datediff('day', date '1995-01-01', l_shipdate::date) // 30 as frame, floor((l_extendedprice % 11025.0) / 172.265625)::bigint as bin, sum(l_quantity)::double as power from lineitem group by all),
 cells as (select g.track, g.frame, b.bin, coalesce(power, 0.0) as power from (select track, unnest(range(0, max(frame) + 1)) as frame from sums group by track) g cross join range(64) b(bin) left join sums on sums.track = g.track and sums.frame = g.frame and sums.bin = b.bin)""",
-    "sounding": """sounding as (select (l_suppkey % 10)::bigint as track, datediff('day', date '1995-01-01', l_shipdate::date)::double as t, ((l_orderkey * 8 + l_linenumber) * 64 + l_quantity)::bigint as frame, l_quantity::double as q, l_quantity::double / 64 as rms, l_tax::double * 2 as zcr,
+    "sounding": """sounding as (select (l_suppkey % 10)::bigint as track, datediff('day', date '1995-01-01', l_shipdate::date)::double as t, ((l_orderkey * 8 + l_linenumber) * 64 + l_quantity)::bigint as frame, l_quantity::double as q, l_quantity::double / 64 as rms, l_tax::double * 2 + 0.00137 as zcr,
   l_extendedprice::double % 6000 as centroid, l_extendedprice::double % 9000 as rolloff, l_extendedprice::double % 1500 as bandwidth, case when l_discount > 0.02 then 110 * pow(2.0, l_quantity::double * 0.7 / 12) end as f0, l_partkey % 12 as pc from lineitem),
 quarters as (select track, floor(t / 90)::bigint as seq, floor(t / 90) * 90.0 as start, floor(t / 90) * 90.0 + 90 as stop, ['verse', 'chorus', 'bridge'][(floor(t / 90)::bigint % 3 + 1)] as type, floor(avg(rms) * 1024) / 1024 as energy from sounding group by track, floor(t / 90))""",
     "spectrum": """spectrum as (select l_suppkey as track, l_extendedprice % 11025.0 as freq, l_quantity as power from lineitem)""",
