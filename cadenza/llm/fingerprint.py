@@ -13,10 +13,16 @@ so that the work is linear in the text but for that sort.  DataFrame functions o
 The likeness of two versions is the share of digests that they have in common
 (size of the intersection by size of the union; 1 for two texts without any).
 
-Paragraphs: ``runs`` cuts at line ends, at sentence ends and after 100 characters of a
-sentence, whatever the length of the text; the query uses it.
-``by_length`` is the older rule (lines; sentences in texts under 3,000 characters,
-words in those under 300): versions on both sides of such a length share little.
+Paragraphs are cut by content alone, by one rule at every length (``paragraphs``): at
+line ends, at sentence ends of any script, and within a sentence at a single space
+whose neighbours are both marked characters (about one space in sixteen of English);
+in scripts without spaces, between two marked letters.  What is marked follows from
+the code point, so that after an inserted or deleted character the next cut is where
+it was.  A piece of 64 words, spaces or unspaced letters without a cut ends there; a
+word counts once for each 40 characters begun (so that within one word, such as a line
+of base64, an insertion does shift what follows).  The words of the first 32 characters
+are digests, too, so that texts of one piece have something to share.  ``runs`` is a
+plainer rule: lines, sentences, and 100 characters of a sentence.
 
 Plan: the texts are shuffled once, by blocks of the order of doc_id, with the first
 row of each block also sent to the block before it; the digests are computed after
@@ -47,11 +53,44 @@ ROUNDS = 8
 BLOCK_ROWS = 2048
 MOST_BLOCKS = 1 << 16
 SAMPLED = 20  # ids sampled per block
-SENTENCE_BELOW, WORD_BELOW = 3000, 300
+HEAD = 32  # the words of as many first characters are digests of their own
+UNITS, UNIT_CHARS = 64, 40  # a piece has at most so many words, spaces and unspaced letters; longer words count as several
 LEAST = -(1 << 63)  # stands for no id
-RUN = r"[^.!?\s][^.!?\n]{0,99}+[.!?]*+|[.!?]++"  # possessive: one pass without going back
 
-Pieces = Callable[[Column, Column], Column]
+# White space; sentence ends of Latin, Chinese, Japanese, Arabic and Indic scripts; blocks of scripts without
+# spaces (Thai and Lao, Myanmar, Khmer, kana, Han).
+SPACE = r" \t\n\x0B\f\r"
+ENDS = r".!?\u2026\u3002\uFF01\uFF0E\uFF1F\u061F\u06D4\u0964\u0965"
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF"
+
+
+def marked() -> str:
+    """A character that may stand beside a cut: three of eight code points from the digits on.
+
+    Those are taken singly in Latin-1, by 24 of 64 in alphabets and by 48 of 128 from kana to Hangul.
+    """
+
+    def ranges(first: int, end: int, step: int) -> str:
+        return "".join(rf"\u{c:04X}-\u{c + step * 3 // 8 - 1:04X}" for c in range(first, end, step))
+
+    # the last class is long and is tried on characters beyond Latin-1 only
+    return rf"(?:[{ranges(0x30, 0x100, 8)}]|(?![\x00-\xFF])[{ranges(0x100, 0x2000, 64)}{ranges(0x3000, 0xD800, 128)}])"
+
+
+def paragraph() -> str:
+    """The pattern of a piece; possessive, so that it reads a text once."""
+    space = rf"(?!(?<={marked()})[{SPACE}]{marked()})[{SPACE}&&[^\n]]"
+    letter = rf"(?!(?<=(?=[{UNSPACED}]){marked()}){marked()})[{UNSPACED}]"
+    word = rf"[^{ENDS}{SPACE}{UNSPACED}]{{1,{UNIT_CHARS}}}+"
+    first = rf"(?:{word}|[{UNSPACED}])"
+    return rf"{first}(?:{word}|{space}|{letter}){{0,{UNITS - 1}}}+[{ENDS}]*+|[{ENDS}]++"
+
+
+PARAGRAPH = paragraph()
+RUN = r"[^.!?\s][^.!?\n]{0,99}+[.!?]*+|[.!?]++"  # possessive, too
+WORD = rf"[{UNSPACED}]|[^{SPACE}{UNSPACED}]++"
+
+Pieces = Callable[[Column], Column]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -59,19 +98,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def by_length(text: Column, n_chars: Column) -> Column:
-    lines, sentences, words = F.split(text, "\n+"), F.split(text, r"\n+|(?<=[.!?])\s+"), F.split(text, r"\s+")
-    pieces = F.when(n_chars < WORD_BELOW, words).when(n_chars < SENTENCE_BELOW, sentences).otherwise(lines)
-    return F.filter(pieces, lambda p: p != "")
+def paragraphs(text: Column) -> Column:
+    """Pieces of a text, and the words of its first characters."""
+    return F.concat(F.regexp_extract_all(F.substr(text, F.lit(1), F.lit(HEAD)), F.lit(WORD), 0), F.regexp_extract_all(text, F.lit(PARAGRAPH), 0))
 
 
-def runs(text: Column, n_chars: Column) -> Column:
+def runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(RUN), 0)
 
 
-def digests(text: Column, n_chars: Column, pieces: Pieces = by_length) -> Column:
+def digests(text: Column, pieces: Pieces = paragraphs) -> Column:
     """Distinct 63-bit digests of the text's paragraphs; the lowest bit is free."""
-    return F.array_distinct(F.transform(pieces(text, n_chars), lambda p: F.xxhash64(p).bitwiseAND(F.lit(-2))))
+    return F.array_distinct(F.transform(pieces(text), lambda p: F.xxhash64(p).bitwiseAND(F.lit(-2))))
 
 
 def cell(at: Column | tuple[int, int], count: Column, key: Column, check: Column) -> Column:
@@ -280,7 +318,7 @@ def with_next(rows: DataFrame, value: str, block_rows: int = BLOCK_ROWS, most_bl
     return both.withColumn("_next", F.lead(value).over(follow)).filter("_guest = 0").drop("_guest", "_block")
 
 
-def prints(docs: DataFrame, pieces: Pieces = by_length) -> DataFrame:
+def prints(docs: DataFrame, pieces: Pieces = paragraphs) -> DataFrame:
     """Per document: its fingerprint, that of its edited text, and the likenesses.
 
     The edited text has the last half of the characters replaced by as many first
@@ -290,15 +328,18 @@ def prints(docs: DataFrame, pieces: Pieces = by_length) -> DataFrame:
     rows = rows.withColumn("order", F.xxhash64("text"))
 
     def keyed(df: DataFrame) -> DataFrame:
-        return df.select("doc_id", "order", "_block", "_guest", F.struct("text", digests(F.col("text"), F.char_length("text"), pieces).alias("keys")).alias("value"))
+        """Digests and sketch of each text, once for its own row and for the row before it."""
+        known = df.withColumn("keys", digests(F.col("text"), pieces))
+        return known.select("doc_id", "order", "_block", "_guest", F.struct("text", "keys", sketch(F.col("keys")).alias("cells")).alias("value"))
 
     followed = with_next(rows, "value", prepare=keyed)
     half = F.floor(F.char_length("value.text") / 2).cast("int")
     edited = F.concat(F.substr("value.text", F.lit(1), F.char_length("value.text") - half), F.substr("_next.text", F.lit(1), half))
-    both = followed.select("doc_id", F.char_length("value.text").cast("long").alias("n_chars"), F.col("value.keys").alias("a"), F.col("_next.keys").alias("n"), edited.alias("edited"))
-    keyed_both = both.withColumn("e", digests(F.col("edited"), F.char_length("edited"), pieces))
-    marked = keyed_both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", "e", "n", sketch(F.col("a")).alias("ca"), sketch(F.col("e")).alias("ce"), sketch(F.col("n")).alias("cn"))
-    compared = with_difference(with_difference(marked, "de", "a", "e", "ca", "ce"), "dn", "a", "n", "ca", "cn")
+    own = [F.char_length("value.text").cast("long").alias("n_chars"), F.col("value.keys").alias("a"), F.col("value.cells").alias("ca")]
+    both = followed.select("doc_id", *own, F.col("_next.keys").alias("n"), F.col("_next.cells").alias("cn"), edited.alias("edited"))
+    keyed_both = both.withColumn("e", digests(F.col("edited"), pieces))
+    marked_both = keyed_both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", "e", "n", "ca", sketch(F.col("e")).alias("ce"), "cn")
+    compared = with_difference(with_difference(marked_both, "de", "a", "e", "ca", "ce"), "dn", "a", "n", "ca", "cn")
     return compared.select(
         "doc_id",
         "n_chars",

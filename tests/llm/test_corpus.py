@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm import decontam, extraction, fingerprint, neardup, packing, quality, secrets, tokencounts, toolcalls, toxicity
 
-from .fixtures import documents, texts, words
+from .fixtures import documents, paragraphs, texts, words
 
 ASCII_LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 NO_DOCS = []
@@ -384,12 +384,8 @@ def test_fingerprints(spark):
     rows = texts()
     docs = documents(spark, rows).dropDuplicates(["doc_id"])
 
-    def pieces(t):
-        cut = r"[ \t\n\x0b\f\r]+" if len(t) < 300 else r"\n+|(?<=[.!?])[ \t\n\x0b\f\r]+" if len(t) < 3000 else r"\n+"
-        return {p for p in re.split(cut, t) if p}
-
     def like(a, b):
-        a, b = pieces(a), pieces(b)
+        a, b = paragraphs(a), paragraphs(b)
         return len(a & b) / len(a | b) if a | b else 1.0
 
     found = {r["doc_id"]: r for r in fingerprint.prints(docs).collect()}

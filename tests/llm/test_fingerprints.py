@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm import fingerprint
 
-from .fixtures import documents, texts, words
+from .fixtures import documents, paragraphs, texts, words
 
 RUN = re.compile(r"[^.!?\s][^.!?\n]{0,99}[.!?]*|[.!?]+", re.A)
 
@@ -79,3 +79,29 @@ def test_repeated_rows_follow_each_other(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "a b"), (2, "c")], "doc_id long, text string")
     found = sorted(r["near_next"] for r in fingerprint.prints(docs, fingerprint.runs).collect())
     assert found == [0.0, 0.0, 1.0, 1.0]
+
+
+def test_one_inserted_character_moves_no_later_cut(spark):
+    rng = random.Random(6)
+    line = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(500))
+    han = [chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3000)]
+    chinese, bare = "".join(c + "。" * (k % 15 == 14) for k, c in enumerate(han)), "".join(han)
+    rows = [(2 * k + d, "X" * d + t) for k, t in enumerate((line, chinese, bare)) for d in (0, 1)]
+    found = {r["doc_id"]: r["near_next"] for r in fingerprint.prints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[k] > 0.8 for k in (0, 2, 4)), found
+
+
+def test_short_texts_share_pieces_with_their_edits(spark):
+    rng = random.Random(7)
+    rows = [(k, " ".join("".join(rng.choice("aehinorst") for _ in range(rng.randrange(2, 8))) for _ in range(4 + k % 12))) for k in range(60)]
+    found = fingerprint.prints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["near_edited"] > 0.1 for r in found if r["n_chars"] > 20)
+
+
+def test_paragraphs_equal_brute_force_over_mixed_scripts(spark):
+    rng = random.Random(8)
+    alphabet = "aehz09 \t\n.!?,éāЖзกสあむ一乀龍가걀。؟\U0001f600…"
+    rows = [(k, "".join(rng.choice(alphabet) for _ in range(rng.randrange(400)))) for k in range(80)] + [(80, "w" * 5000), (81, "a b " * 400), (82, "z. " * 90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("text", fingerprint.paragraphs(F.col("text")).alias("p"))
+    for r in df.collect():
+        assert set(r["p"]) == paragraphs(r["text"]), r["text"]
