@@ -8,8 +8,13 @@ summaries (how many separators, where the last one is) stitches the documents
 that cross blocks.
 
 Plan: blocks are rows, so that a long file is many tasks; only summaries (one
-row per block) and counts (one row per document) are shuffled.  A file holds at
-most ``FILE_DOCS`` documents, which bounds the prefix scan's groups.
+row per block) and counts (one row per document) are shuffled.  A file written here
+holds at most ``FILE_DOCS`` documents, which bounds the prefix scan's groups; raw files
+of others are read by byte ranges at any length, and the scan of one such file goes
+over its blocks' summaries in one task, four bytes a document.
+
+The separator's own string in a text is ordinary text here, as the identifier is the
+separator; operator 1 makes it one identifier (``a<|endoftext|>b``: 9 here, 3 there).
 
 Edge cases: null text counts as empty and has no tokens.  Tokens after a file's
 last separator are no document.  Repeated rows keep their rows.  Empty tables
@@ -27,11 +32,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.packing import default_vocabulary, encoder
+from cadenza.llm.warc import opened
 from cadenza.session import materialise
 
 SEPARATOR = 50256  # no text gives this identifier
 BLOCK_TOKENS = 1 << 16
 FILE_DOCS = 20_000
+RANGE_BLOCKS = 64  # blocks that a task reads from a raw file in one go
+MOST_TASKS = 20_000
 DTYPE = "<u2"  # holds every identifier of a vocabulary of 50,257
 
 
@@ -81,13 +89,31 @@ def token_files(docs: DataFrame, vocabulary: str | None = None, block_tokens: in
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, dtype: str = DTYPE) -> DataFrame:
-    """(file, block, tokens) of raw binary token files, by the reader that reads any store; files of up to 2 GB."""
+def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, dtype: str = DTYPE, range_blocks: int = RANGE_BLOCKS) -> DataFrame:
+    """(file, block, tokens) of raw binary token files of any length.
+
+    Spark lists the files without their content; each range of ``range_blocks`` blocks
+    is a row, and the task that has it opens the file and reads that range only.
+    """
     width = np.dtype(dtype).itemsize * block_tokens
-    files = spark.read.format("binaryFile").load(path)
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("length") / width).cast("int") - 1, F.lit(0)))
-    each = files.select(F.xxhash64("path").alias("file"), "content", F.explode(starts).alias("block"))
-    return each.select("file", "block", F.substring("content", F.col("block") * width + 1, F.lit(width)).alias("tokens"))
+    span = width * range_blocks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, file, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store, inside = opened(name)
+                with store.open_input_file(inside) as f:
+                    held = f.read_at(span, first * span)
+                cut = [held[i : i + width] for i in range(0, len(held), width)] or [b""]
+                blocks = range(first * range_blocks, first * range_blocks + len(cut))
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(cut), pa.int64()), pa.array(blocks, pa.int32()), pa.array(cut, pa.binary())], names=["file", "block", "tokens"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    pieces = F.greatest(F.ceil(F.col("length") / span), F.lit(1).cast("long"))
+    ranges = files.select(pieces.alias("n")).agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
+    each = files.select("path", F.xxhash64("path").alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("first"))
+    spread = each.repartition(min(ranges, MOST_TASKS), "file", "first")  # a stated number, as rows this small would be put into one task
+    return spread.mapInArrow(run, "file long, block int, tokens binary")
 
 
 def separator_scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = DTYPE) -> DataFrame:
