@@ -27,6 +27,7 @@ LABELS = {
 SILENT = {"low": 0.0, "high": 0.05, "mean": 0.025, "range": 0.05}
 # The key of a track in which none is found.
 NO_KEY = ("C", "Major", 5.0, 0.1)
+UNKNOWN, NO_NAME = "Unknown", "None"
 
 
 def _duration() -> Column:
@@ -183,18 +184,30 @@ def beat_means(frames: DataFrame, beats: DataFrame) -> DataFrame:
 def key_or_default(tracks: DataFrame, found: DataFrame, other: DataFrame | None = None) -> DataFrame:
     """A key for every track: that found, else that of ``other``, else C Major with little confidence.
 
+    A key that is null or starts with Unknown is none.
+
     ``found`` and ``other``: track, key, mode, confidence, key_strength.
     """
     names = ["key", "mode", "confidence", "key_strength"]
     rows = tracks.select("track").join(found.select("track", F.struct(*names).alias("_a")), "track", "left")
-    tries = [F.when(F.col("_a.key").isNotNull(), F.col("_a"))]
+    tries = [F.when(~F.startswith(F.col("_a.key"), F.lit(UNKNOWN)), F.col("_a"))]
     if other is not None:
         rows = rows.join(other.select("track", F.struct(*names).alias("_b")), "track", "left")
-        tries.append(F.when(F.col("_b.key").isNotNull(), F.col("_b")))
+        tries.append(F.when(~F.startswith(F.col("_b.key"), F.lit(UNKNOWN)), F.col("_b")))
     default = F.struct(*[F.lit(x).alias(n) for x, n in zip(NO_KEY, names, strict=True)])
     return rows.select("track", F.coalesce(*tries, default).alias("_k")).select("track", "_k.*")
 
 
+def key_names(found: DataFrame) -> DataFrame:
+    """Key and mode as one name (track, key, confidence): C Major where the key is null, None or Unknown.
+
+    The confidence stays that of what was found.
+    """
+    none = F.col("key").isNull() | (F.col("key") == NO_NAME) | F.startswith("key", F.lit(UNKNOWN))
+    key, mode = NO_KEY[:2]
+    return found.select("track", F.when(none, f"{key} {mode}").otherwise(F.concat_ws(" ", "key", "mode")).alias("key"), "confidence")
+
+
 def key_changes(windows: DataFrame, least: float = 15.0, stay: int = 2) -> DataFrame:
     """Changes of key between windows, with hysteresis: the old key must have been seen ``stay`` times, the new be sure.
 

@@ -102,6 +102,11 @@ def key_or_default(spark, sf_dir):
     return S.key_or_default(tracks, found.filter("confidence > 40"), best).select("track", "key", "mode", *round6("confidence", "key_strength"))
 
 
+def key_names(spark, sf_dir):
+    """The ladder's keys by name; its Unknown ones are those under its least confidence."""
+    return S.key_names(keys.final_ladder(key_plans.smoothed(spark, sf_dir))).select("track", "key", *round6("confidence"))
+
+
 def key_changes(spark, sf_dir):
     rows = in_order(B.chords(spark, sf_dir))
     return S.key_changes(rows.select("track", "seq", F.col("chord").alias("key"), (F.col("confidence") * 100).alias("confidence"))).select("track", "seq", "from_key", "to_key", *round6("confidence", "difference"))
@@ -109,7 +114,7 @@ def key_changes(spark, sf_dir):
 
 QUERIES = [
     section_refined, section_chorus_hooks, section_endings, section_merged_types, section_same_type_runs, section_chords, section_summary, energy_scale,
-    timbre_distortion, series_trimmed, dynamics_events, chroma_beat_means, key_or_default, key_changes,
+    timbre_distortion, series_trimmed, dynamics_events, chroma_beat_means, key_or_default, key_names, key_changes,
 ]
 
 _TIMED = f"""{B.with_sql('ev', 'sections')}, tm as (select track, row_number() over w - 1 as seq, t * 128.0 as s, coalesce(lead(t) over w * 128.0, t * 128.0 + 8) as e,
@@ -147,6 +152,7 @@ h as (select f.track, f.pc, f.v, coalesce(b.t, -1) as start from f asof left joi
     "key_or_default": f"""with a as ({_LADDER}), b as ({_BEST}), j as (select n_nationkey as track, a.key is not null as found, a.key as ak, a.mode as am, a.confidence as ac, a.key_strength as az, b.key as bk, b.mode as bm, b.confidence as bc, b.r as br
   from nation left join (select * from a where confidence > 40) a on a.track = n_nationkey left join b on b.track = n_nationkey)
 select track, case when found then ak else coalesce(bk, 'C') end as key, case when found then am else coalesce(bm, 'Major') end as mode, case when found then ac else coalesce(bc, 5.0) end::double as confidence, case when found then az else coalesce(br, 0.1) end::double as key_strength from j""",
+    "key_names": f"""with a as ({_LADDER}) select track, case when key is null or key = 'None' or key like 'Unknown%' then 'C Major' else concat_ws(' ', key, mode) end as key, round(confidence, 6)::double as confidence from a""",
     "key_changes": f"""with recursive {B.SQL['ev']}, {B.SQL['chords']}, x as (select track, seq, chord as key, confidence * 100 as confidence from chords),
 w as (select track, seq, key, 1 as n, confidence, null::varchar as from_key, null::varchar as to_key, 0.0::double as difference from x where seq = 0
   union all select x.track, x.seq, case when {_CHANGED} then x.key else w.key end, case when {_CHANGED} then 1 when x.key = w.key then w.n + 1 else w.n end, x.confidence,

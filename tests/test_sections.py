@@ -64,6 +64,19 @@ def test_scale_trim_and_defaults(spark):
     assert [tuple(r) for r in S.key_or_default(tracks, found, other).orderBy("track").collect()] == [("a", "D", "Minor", 70.0, 0.5), ("b", "E", "Major", 30.0, 0.4), ("c", "C", "Major", 5.0, 0.1)]
 
 
+def test_unknown_keys_give_way(spark):
+    kind = "track string, key string, mode string, confidence double, key_strength double"
+    found = spark.createDataFrame([(t, "Unknown(D?)", "Unknown", 9.0, 0.2) for t in "ab"] + [("c", "A", "Minor", 80.0, 0.6)], kind)
+    other = spark.createDataFrame([("a", "E", "Major", 30.0, 0.4), ("b", "Unknown(F?)", "Unknown", 3.0, 0.1), ("c", "G", "Major", 99.0, 0.9)], kind)
+    assert [tuple(r) for r in S.key_or_default(found, found, other).orderBy("track").collect()] == [("a", "E", "Major", 30.0, 0.4), ("b", "C", "Major", 5.0, 0.1), ("c", "A", "Minor", 80.0, 0.6)]
+
+
+def test_key_names(spark):
+    rows = [("a", "Unknown(D?)", "Unknown", 9.0), ("b", "None", "Unknown", 0.0), ("c", None, None, 1.0), ("d", "F#", "Minor", 70.0)]
+    named = S.key_names(spark.createDataFrame(rows, "track string, key string, mode string, confidence double"))
+    assert [tuple(r) for r in named.orderBy("track").collect()] == [("a", "C Major", 9.0), ("b", "C Major", 0.0), ("c", "C Major", 1.0), ("d", "F# Minor", 70.0)]
+
+
 def test_key_changes_need_a_settled_key_and_a_sure_one(spark):
     seen = [("C", 50.0), ("G", 90.0), ("C", 50.0), ("G", 10.0), ("G", 40.0), ("D", 80.0), ("G", 30.0), ("D", 80.0)]
     df = spark.createDataFrame([("a", i, k, c) for i, (k, c) in enumerate(seen)], "track string, seq long, key string, confidence double")
