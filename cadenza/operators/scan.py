@@ -224,4 +224,5 @@ def best_path(scores: DataFrame, penalty: float, size: int = BLOCK) -> DataFrame
             now = int(links[now])
         return pd.DataFrame({"track": rows["track"], "frame": rows["frame"], "state": out, "total": total})
 
-    return carried(tables, table, lambda s: [s[0]], lambda state, s: [s[1 + int(state[0])]], walk, f"track {kind}, frame long, state long, total double", size, backward=True)
+    found = carried(tables, table, lambda s: [s[0]], lambda state, s: [s[1 + int(state[0])]], walk, f"track {kind}, frame long, state long, total double", size, backward=True)
+    return found.withColumn("total", F.coalesce("total", F.lit(float("nan"))))  # pandas hands NaN over as null

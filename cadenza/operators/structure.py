@@ -54,7 +54,8 @@ def block_contrast(frames: DataFrame, k: int, size: int = 256) -> DataFrame:
     def run(rows: pd.DataFrame, first: int, last: int) -> pd.DataFrame:
         frame = rows["frame"].to_numpy()
         v = np.stack(rows["v"].to_numpy())
-        area = np.pad(np.clip(v @ v.T, 0, 1).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+        sims = np.nan_to_num(np.clip(v @ v.T, 0, 1), nan=1.0)  # as in ``ssm_band``: NaN is above 1
+        area = np.pad(sims.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
         own = np.flatnonzero((frame >= first) & (frame < last))
         whole = (own >= k) & (own < rows["n"].iloc[0] - k - frame[0])
 
