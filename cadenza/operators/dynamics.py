@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.operators.series import entropy, indexed, islands
+from cadenza.operators.series import entropy, indexed, islands, thinned
 
 # The 11-point cubic Savitzky-Golay smoothing weights.
 SG_11 = [-36, 9, 44, 69, 84, 89, 84, 69, 44, 9, -36]
@@ -140,14 +140,11 @@ def climax(series: DataFrame, distance: int = 5) -> DataFrame:
         rows = rows.sort_values("idx")
         s, idx = rows["s"].to_numpy(), rows["idx"].to_numpy()
         high = s.mean() + s.std()
-        peaks = [i for i in range(1, len(s) - 1) if s[i - 1] < s[i] > s[i + 1] and s[i] > high]
-        kept: list[int] = []
-        for i in sorted(peaks, key=lambda i: (-s[i], i)):
-            if all(abs(idx[i] - idx[j]) >= distance for j in kept):
-                kept.append(i)
-        kept.sort()
-        best = max(kept, key=lambda i: s[i], default=-1)
-        return pd.DataFrame({"track": rows["track"].iloc[0], "idx": idx[kept].astype(np.int64), "intensity": s[kept] / s.max(), "main": [i == best for i in kept]})
+        peaks = np.flatnonzero((s[1:-1] > s[:-2]) & (s[1:-1] > s[2:]) & (s[1:-1] > high)) + 1
+        kept = thinned(idx[peaks], s[peaks], distance)
+        kept = peaks[kept]
+        best = kept[s[kept].argmax()] if len(kept) else -1
+        return pd.DataFrame({"track": rows["track"].iloc[0], "idx": idx[kept].astype(np.int64), "intensity": s[kept] / s.max(), "main": kept == best})
 
     kind = dict(series.dtypes)["track"]
     return smoothed(series).groupBy("track").applyInPandas(pick, f"track {kind}, idx long, intensity double, main boolean")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import constants as K
 from cadenza.operators.scan import by_block
-from cadenza.operators.series import islands
+from cadenza.operators.series import islands, thinned
 
 
 def ssm_band(frames: DataFrame, band: int) -> DataFrame:
@@ -112,13 +112,9 @@ def boundary_peaks(curve: DataFrame, distance: int = 4, share: float = 0.7) -> D
         rows = rows.sort_values("at")
         x, at = rows["novelty"].to_numpy(), rows["at"].to_numpy()
         height = np.sort(x)[int(share * len(x))] if len(x) else 0.0
-        peaks = [i for i in range(1, len(x) - 1) if x[i - 1] < x[i] > x[i + 1] and x[i] >= height]
-        kept: list[int] = []
-        for i in sorted(peaks, key=lambda i: (-x[i], at[i])):
-            if all(abs(at[i] - at[j]) >= distance for j in kept):
-                kept.append(i)
-        kept.sort()
-        return pd.DataFrame({"track": rows["track"].iloc[0], "at": at[kept], "novelty": x[kept]}) if kept else rows.head(0)[["track", "at", "novelty"]]
+        peaks = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] > x[2:]) & (x[1:-1] >= height)) + 1
+        kept = peaks[thinned(at[peaks], x[peaks], distance)]
+        return pd.DataFrame({"track": rows["track"].iloc[0], "at": at[kept], "novelty": x[kept]}) if len(kept) else rows.head(0)[["track", "at", "novelty"]]
 
     return curve.groupBy("track").applyInPandas(pick, curve.select("track", "at", "novelty").schema)
 
