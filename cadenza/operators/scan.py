@@ -11,11 +11,12 @@ and it never sees the series itself.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,9 +173,14 @@ def best_path(scores: DataFrame, penalty: float, size: int = BLOCK) -> DataFrame
     """track, frame, state and total: the path with the highest sum of scores less ``penalty`` per unit that the state moves.
 
     ``scores``: track, frame, v (an array with a number per state).  Of paths as good, at each frame
-    the lower state is kept.
+    the lower state is kept.  Tracks of one block are many and short: they are walked one after another, without the
+    grouping and the summaries that longer ones need.
     """
     kind = scores.schema["track"].dataType.simpleString()
+    scores = scores.select("track", F.col("frame").cast("long").alias("frame"), "v")
+    ends = scores.groupBy(F.col("track").alias("_track")).agg(F.max("frame").alias("_last"))
+    ended = scores.join(ends, F.col("track").eqNullSafe(F.col("_track")))
+    short, scores = (ended.filter(keep).select("track", "frame", "v") for keep in (F.col("_last") < size, F.col("_last") >= size))
 
     def costs(n: int) -> np.ndarray:
         at = np.arange(n)
@@ -197,17 +203,48 @@ def best_path(scores: DataFrame, penalty: float, size: int = BLOCK) -> DataFrame
     def step(state: np.ndarray, s: np.ndarray) -> np.ndarray:
         return times(state, s[1:].reshape(int(s[0]), -1))
 
-    def replay(rows: pd.DataFrame, state: np.ndarray) -> pd.DataFrame:
-        v = np.stack(rows["v"].to_numpy())
-        move = costs(v.shape[1])
+    def forward(v: np.ndarray, state: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         totals, links = np.empty(v.shape), np.empty(v.shape, np.int64)
         for k, row in enumerate(v):
             ways = state[:, None] + move
             links[k] = np.round(ways, DIGITS).argmax(axis=0)
             state = totals[k] = ways.max(axis=0) + row
+        return totals, links
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(parts)
+            v = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+            totals, links = forward(v, np.zeros(v.shape[1]), costs(v.shape[1]))
+            path = np.empty(len(v), np.int64)
+            now = int(np.argmax(np.round(totals[-1], DIGITS)))
+            for k in range(len(v) - 1, -1, -1):
+                path[k], now = now, int(links[k, now])
+            columns = [rows["track"].combine_chunks(), rows["frame"].combine_chunks(), pa.array(path), pa.array(totals[np.arange(len(v)), path])]
+            return pa.RecordBatch.from_arrays(columns, names=["track", "frame", "state", "total"])
+
+        held, last = [], -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            frame = batch.column("frame").to_numpy()
+            cuts = np.flatnonzero(np.diff(frame, prepend=last) <= 0)  # a track's frames rise from 0
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(frame)], strict=True):
+                if b > a and held and (a or (len(cuts) and cuts[0] == 0)):
+                    yield solved(held)
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+            last = int(frame[-1])
+        if held:
+            yield solved(held)
+
+    def replay(rows: pd.DataFrame, state: np.ndarray) -> pd.DataFrame:
+        v = np.stack(rows["v"].to_numpy())
+        totals, links = forward(v, state, costs(v.shape[1]))
         return pd.DataFrame({"track": rows["track"], "frame": rows["frame"], "totals": totals.tolist(), "links": links.tolist()})
 
-    tables = carried(scores.select("track", F.col("frame").cast("long").alias("frame"), "v"), summarise, start, step, replay, f"track {kind}, frame long, totals array<double>, links array<long>", size)
+    tables = carried(scores, summarise, start, step, replay, f"track {kind}, frame long, totals array<double>, links array<long>", size)
 
     # backwards a block is a table: the state that its first frame's link names, for each state of its last frame
     def table(rows: pd.DataFrame) -> Summary:
@@ -225,4 +262,5 @@ def best_path(scores: DataFrame, penalty: float, size: int = BLOCK) -> DataFrame
         return pd.DataFrame({"track": rows["track"], "frame": rows["frame"], "state": out, "total": total})
 
     found = carried(tables, table, lambda s: [s[0]], lambda state, s: [s[1 + int(state[0])]], walk, f"track {kind}, frame long, state long, total double", size, backward=True)
+    found = found.unionByName(short.repartition("track").sortWithinPartitions("track", "frame").mapInArrow(whole, f"track {kind}, frame long, state long, total double"))
     return found.withColumn("total", F.coalesce("total", F.lit(float("nan"))))  # pandas hands NaN over as null
