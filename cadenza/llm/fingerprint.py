@@ -4,11 +4,12 @@ Method: a text's paragraphs are hashed; each distinct digest is added to three
 cells (count, XOR of digests, XOR of checks) of a small sketch.  The sketches of
 two versions subtract cell by cell, and peeling pure cells recovers the digests
 that differ.  Where peeling does not finish, both sides are sketched again with
-as many cells as their sizes call for, in groups of small sketches by digest bits;
-a group that does not peel is sketched again with other bits and four, then sixteen
-times as many cells; what even that leaves (digests that collide in every cell) is
-compared as plain sets.  Digests are sorted once and each group is a slice of them,
-so that the work is linear in the text but for that sort.  DataFrame functions only.
+as many cells as their sizes call for: one cell for each group of digests by their
+highest bits, about a digest each, of which most peel at once.  A group that does not is
+sketched again with other bits, in 8 and 32 cells, then in 12 cells of three tables and
+four and sixteen times as many; what even that leaves (digests that collide in every
+cell) is compared as plain sets.  Digests are sorted once and each group is a slice of
+them, so that the work is linear in the text but for that sort.  DataFrame functions only.
 
 The likeness of two versions is the share of digests that they have in common
 (size of the intersection by size of the union; 1 for two texts without any).
@@ -48,7 +49,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TABLES, SLOTS = 3, 8  # a sketch has TABLES * SLOTS cells
-PER_GROUP, GROUP_SLOTS = 10, 4  # most digests of both sides, on average, per group of the first larger sketch, and its slots per table
+PER_GROUP, GROUP_SLOTS = 0.5, 4  # most digests of both sides, on average, per group, which has one cell at first, and slots per table of its larger sketches
 ROUNDS = 8
 BLOCK_ROWS = 2048
 MOST_BLOCKS = 1 << 16
@@ -62,6 +63,9 @@ LEAST = -(1 << 63)  # stands for no id
 SPACE = r" \t\n\x0B\f\r"
 ENDS = r".!?\u2026\u3002\uFF01\uFF0E\uFF1F\u061F\u06D4\u0964\u0965"
 UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF"
+# A class of single Latin-1 characters is a table look-up; a class of ranges is gone through range by range, and so is tried beyond Latin-1 only.
+BEYOND = r"(?![\x00-\xFF])"
+LETTERS = "".join(rf"\x{c:02X}" for c in range(0x100) if chr(c) not in " \t\n\x0B\f\r.!?")  # of words, in Latin-1
 
 
 def marked() -> str:
@@ -73,17 +77,19 @@ def marked() -> str:
     def ranges(first: int, end: int, step: int) -> str:
         return "".join(rf"\u{c:04X}-\u{c + step * 3 // 8 - 1:04X}" for c in range(first, end, step))
 
-    # the last class is long and is tried on characters beyond Latin-1 only
-    return rf"(?:[{ranges(0x30, 0x100, 8)}]|(?![\x00-\xFF])[{ranges(0x100, 0x2000, 64)}{ranges(0x3000, 0xD800, 128)}])"
+    latin = "".join(rf"\x{c + i:02X}" for c in range(0x30, 0x100, 8) for i in range(3))
+    return rf"(?:[{latin}]|{BEYOND}[{ranges(0x100, 0x2000, 64)}{ranges(0x3000, 0xD800, 128)}])"
 
 
 def paragraph() -> str:
     """The pattern of a piece; possessive, so that it reads a text once."""
-    space = rf"(?!(?<={marked()})[{SPACE}]{marked()})[{SPACE}&&[^\n]]"
-    letter = rf"(?!(?<=(?=[{UNSPACED}]){marked()}){marked()})[{UNSPACED}]"
-    word = rf"[^{ENDS}{SPACE}{UNSPACED}]{{1,{UNIT_CHARS}}}+"
-    first = rf"(?:{word}|[{UNSPACED}])"
-    return rf"{first}(?:{word}|{space}|{letter}){{0,{UNITS - 1}}}+[{ENDS}]*+|[{ENDS}]++"
+    space = rf"[ \t\x0B\f\r](?!(?<={marked()}[{SPACE}]){marked()})"
+    letter = rf"{BEYOND}(?!(?<=(?=[{UNSPACED}]){marked()}){marked()})[{UNSPACED}]"
+    other = rf"{BEYOND}[^{ENDS}{UNSPACED}]"
+    word = rf"(?:[{LETTERS}]{{1,{UNIT_CHARS}}}+(?!{other})|(?:[{LETTERS}]|{other}){{1,{UNIT_CHARS}}}+)"
+    first = rf"(?:{word}|{BEYOND}[{UNSPACED}])"
+    end = rf"(?:[.!?]|{BEYOND}[{ENDS}])"
+    return rf"{first}(?:{word}|{space}|{letter}){{0,{UNITS - 1}}}+{end}*+|{end}++"
 
 
 PARAGRAPH = paragraph()
@@ -136,14 +142,15 @@ def sketch(keys: Column) -> Column:
     return F.transform(empty_cells(), lambda at: F.aggregate(F.filter(keys, lambda k: in_cell(k, at)), at, add))
 
 
-def difference(keys: Column, turn: int) -> Column:
-    """The sketch of the left digests less that of the right ones (whose lowest bit is set), in one go."""
+def differ(acc: Column, key: Column) -> Column:
+    """The cell with a left digest, or less a right one (whose lowest bit is set)."""
+    digest = key.bitwiseAND(F.lit(-2))
+    return cell(acc, acc["c"] + 1 - 2 * key.bitwiseAND(F.lit(1)), acc["k"].bitwiseXOR(digest), acc["h"].bitwiseXOR(F.hash(digest)))
 
-    def add(acc: Column, key: Column) -> Column:
-        digest = key.bitwiseAND(F.lit(-2))
-        return cell(acc, acc["c"] + 1 - 2 * key.bitwiseAND(F.lit(1)), acc["k"].bitwiseXOR(digest), acc["h"].bitwiseXOR(F.hash(digest)))
 
-    return F.transform(empty_cells(turn, GROUP_SLOTS), lambda at: F.aggregate(F.filter(keys, lambda k: in_cell(k, at)), at, add))
+def difference(keys: Column, turn: int) -> Column:
+    """The sketch of the left digests less that of the right ones, in one go."""
+    return F.transform(empty_cells(turn, GROUP_SLOTS), lambda at: F.aggregate(F.filter(keys, lambda k: in_cell(k, at)), at, differ))
 
 
 def subtract(left: Column, right: Column) -> Column:
@@ -187,6 +194,17 @@ def peel(cells: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(cells, F.lit(0), F.lit(0), F.lit(None).cast("boolean")), turn, finish)
 
 
+def peel_one(keys: Column) -> Column:
+    """As ``peel``, of a difference that is one cell: it is empty or pure, or does not peel."""
+
+    def finish(x: Column) -> Column:
+        clear = (x["c"] == 0) & (x["k"] == 0)
+        return result(clear | ((F.abs(x["c"]) == 1) & (F.hash(x["k"]) == x["h"])), x["c"] == 1, x["c"] == -1)
+
+    zero = F.lit(0)
+    return F.aggregate(keys, cell((0, 0), zero, zero, zero), differ, finish)
+
+
 def exact(keys: Column) -> Column:
     left, right = sides(keys)
     return result(F.lit(True), F.size(F.array_except(left, right)), F.size(F.array_except(right, left)))
@@ -206,36 +224,38 @@ def total(results: Column) -> Column:
 
 
 def solved(keys: Column) -> Column:
-    """What differs within a group of digests: a sketch, then four, then sixteen, then plain sets."""
+    """What differs within a group of digests: one cell, then 8, then 32, then a sketch, four, sixteen, then plain sets."""
 
-    def once(part: Column, turn: int) -> Column:
-        return peel(difference(part, turn))
+    def of_turn(turn: int) -> Callable[[Column], Column]:
+        return lambda part: peel(difference(part, turn))
 
-    def split(parts: int, turn: int) -> Column:
+    def split(parts: int, shift: int, once: Callable[[Column], Column]) -> Column:
         if parts == 1:
-            return once(keys, turn)
+            return once(keys)
         bits = F.sequence(F.lit(0), F.lit(parts - 1))
-        own = F.transform(bits, lambda p: F.filter(keys, lambda k: F.shiftrightunsigned(k, 37).bitwiseAND(F.lit(parts - 1)) == p))
-        return total(F.transform(own, lambda part: once(part, turn)))
-
-    def tried(parts: int, turn: int, more: Column) -> Column:
-        return let(split(parts, turn), lambda r: F.when(r["done"], r).otherwise(more))
+        own = F.transform(bits, lambda p: F.filter(keys, lambda k: F.shiftrightunsigned(k, shift).bitwiseAND(F.lit(parts - 1)) == p))
+        return total(F.transform(own, once))
 
-    return tried(1, 1, tried(4, 2, tried(16, 3, exact(keys))))
+    tries = split(1, 0, peel_one), split(8, 41, peel_one), split(32, 44, peel_one), split(1, 0, of_turn(1)), split(4, 37, of_turn(2)), split(16, 37, of_turn(3))
+    return F.coalesce(*[let(one, lambda r: F.when(r["done"], r)) for one in tries], exact(keys))
 
 
 def grouped_peel(left: Column, right: Column) -> Column:
-    """As ``peel``, with small sketches for groups of about PER_GROUP digests by their highest bits."""
+    """As ``peel``, with small sketches for groups of up to PER_GROUP digests, on average, by their highest bits."""
 
     def of(keys: Column) -> Column:
         n = F.size(keys)
         bits = F.ceil(F.log2(F.greatest(n / F.lit(PER_GROUP), F.lit(1.0)))).cast("int")
 
-        def group(k: Column) -> Column:  # rises with the signed order of the digests
-            return F.call_function("shiftrightunsigned", F.shiftrightunsigned(k.bitwiseXOR(F.lit(LEAST)), 1), F.lit(63) - bits)
+        def starts(shift: Column) -> Column:
+            """Where a digest differs from the one before in the highest bits."""
+
+            def other(k: Column, i: Column) -> Column:
+                return F.call_function("shiftrightunsigned", F.shiftrightunsigned(k.bitwiseXOR(F.get(keys, i - 1)), 1), shift) != 0
+
+            return F.array_compact(F.transform(keys, lambda k, i: F.when((i == 0) | other(k, i), i)))
 
-        first = F.transform(keys, lambda k, i: F.when((i == 0) | (group(k) != group(F.get(keys, i - 1))), i))
-        return let(F.array_compact(first), lambda starts: F.transform(starts, lambda s, j: F.slice(keys, s + 1, F.coalesce(F.get(starts, j + 1), n) - s)))
+        return let(let(F.lit(63) - bits, starts), lambda at: F.transform(at, lambda s, j: F.slice(keys, s + 1, F.coalesce(F.get(at, j + 1), n) - s)))
 
     both = F.sort_array(F.concat(left, F.transform(right, lambda k: k.bitwiseOR(F.lit(1)))))
     return let(let(both, of), lambda groups: total(F.transform(groups, solved)))

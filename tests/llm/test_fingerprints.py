@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 
 import pytest
@@ -105,3 +106,53 @@ def test_paragraphs_equal_brute_force_over_mixed_scripts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").select("text", fingerprint.paragraphs(F.col("text")).alias("p"))
     for r in df.collect():
         assert set(r["p"]) == paragraphs(r["text"]), r["text"]
+
+
+def plain_pattern():
+    """The pattern of a piece as its rules read, without regard to speed."""
+    f = fingerprint
+
+    def ranges(first, end, step):
+        return "".join(rf"\u{c:04X}-\u{c + step * 3 // 8 - 1:04X}" for c in range(first, end, step))
+
+    marked = f"[{ranges(0x30, 0x100, 8)}{ranges(0x100, 0x2000, 64)}{ranges(0x3000, 0xD800, 128)}]"
+    space = rf"(?!(?<={marked})[{f.SPACE}]{marked})[{f.SPACE}&&[^\n]]"
+    letter = rf"(?!(?<=(?=[{f.UNSPACED}]){marked}){marked})[{f.UNSPACED}]"
+    word = rf"[^{f.ENDS}{f.SPACE}{f.UNSPACED}]{{1,{f.UNIT_CHARS}}}+"
+    return rf"(?:{word}|[{f.UNSPACED}])(?:{word}|{space}|{letter}){{0,{f.UNITS - 1}}}+[{f.ENDS}]*+|[{f.ENDS}]++"
+
+
+def test_pieces_follow_the_plain_pattern(spark):
+    rng = random.Random(23)
+    signs = [*map(chr, range(0x180)), *"…。！．？؟۔।॥　  \u0085😀𠀀", *map(chr, range(0xE00, 0xF00)), *map(chr, range(0x3040, 0x3100)), *map(chr, range(0x4E00, 0x4F00)), *map(chr, range(0x400, 0x500))]
+    texts = ["".join(rng.choices(signs, k=400)) for _ in range(100)]
+    texts += ["".join(rng.choices("abcXYZ019 é\t\nж.", weights=[9] * 9 + [8, 1, 1, 1, 1, 1], k=2000)) for _ in range(50)]
+    texts += ["a" * n + tail for n in (39, 40, 41, 80) for tail in ("", "ж", "жa b", "漢", ".", "😀" * 50)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    both = df.select("text", *[F.regexp_extract_all("text", F.lit(p), 0).alias(n) for p, n in ((fingerprint.PARAGRAPH, "a"), (plain_pattern(), "b"))])
+    assert both.filter("a <> b").collect() == []
+
+
+def test_pieces_are_read_about_as_fast_as_runs(spark):
+    df = spark.range(2000).select(F.repeat(F.concat(F.lit("The quick brown fox jumps over the lazy dog and goes on number "), "id", F.lit(". ")), 100).alias("text"))
+
+    def seconds(pattern):
+        start = time.perf_counter()
+        df.select(F.sum(F.size(F.regexp_extract_all("text", F.lit(pattern), 0)))).collect()
+        return time.perf_counter() - start
+
+    plain, fast = (min(seconds(p) for _ in range(3)) for p in (plain_pattern(), fingerprint.PARAGRAPH))
+    assert 2 * fast < plain
+
+
+def test_groups_of_few_digests_count_what_differs(spark):
+    rng = random.Random(29)
+    rows = []
+    for n in (1, 2, 3, 30, 300):
+        common, left, right = ([rng.getrandbits(64) - (1 << 63) & -2 for _ in range(k)] for k in (n, n, n // 2))
+        rows += [(common + left, common + right, len(left), len(right))]
+    rows += [([rng.getrandbits(20) << 1 for _ in range(n)], [], n, 0) for n in (1, 2, 40)]  # all share their highest bits
+    rows = [(list(set(a)), list(set(b)), len(set(a) - set(b)), len(set(b) - set(a))) for a, b, _, _ in rows]
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, x int, y int")
+    found = df.select("x", "y", fingerprint.grouped_peel(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [(r["d"]["done"], r["d"]["left"], r["d"]["right"]) for r in found] == [(True, r["x"], r["y"]) for r in found]
