@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import constants as K
-from cadenza.operators.scan import by_block
+from cadenza.operators.scan import by_block, in_blocks
 from cadenza.operators.series import islands, thinned
+from cadenza.operators.similarity import matrix, sums
 
 
 def ssm_band(frames: DataFrame, band: int) -> DataFrame:
@@ -131,24 +135,48 @@ def snapped(times: DataFrame, grid: float, least: float) -> DataFrame:
     return rows.select("track", F.explode(F.aggregate("ts", F.array().cast("array<double>"), step)).alias("t"))
 
 
-def repetition_pairs(frames: DataFrame, length: int, stride: int, points: int, least: float) -> DataFrame:
+def diagonals(x: np.ndarray, y: np.ndarray, length: int, step: int) -> np.ndarray:
+    """Mean similarity of the frames from each place of ``x`` on and those from each place of ``y`` on, every ``step``-th of ``length``."""
+    sims = np.nan_to_num(np.clip(sums(x, y), 0, 1), nan=1.0)  # as in ``ssm_band``: NaN is above 1
+    own, other = len(x) - length + 1, len(y) - length + 1
+    points = range(0, length, step)
+    total = np.zeros((own, other))
+    for k in points:
+        total += sims[k : k + own, k : k + other]
+    return total / len(points)
+
+
+def repetition_pairs(frames: DataFrame, length: int, stride: int, points: int, least: float, size: int = 512) -> DataFrame:
     """Pairs of places whose diagonal of sampled similarities has a mean above ``least``.
 
-    Only the sampled cells are formed: a pair of places joins ``points`` cells.
+    ``frames``: track, idx (dense, from 0), v.  Time blocks of ``size`` frames, each with the first ones of the next, meet
+    the blocks of their track: no row is made for a pair that is not similar, and the frames are shuffled without copies.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                track, n, one, two = (batch.column(c)[at].as_py() for c in ("track", "n", "p", "q"))
+                x, y = (matrix(batch.column(c)[at].values)[0] for c in ("x", "y"))
+                if min(len(x), len(y)) < length:
+                    continue
+                found = diagonals(x, y, length, max(1, length // points))
+                i, j = one * size + np.arange(len(found))[:, None], two * size + np.arange(found.shape[1])
+                places = (i < min((one + 1) * size, n - length)) & (i % stride == 0) & (j >= i + length) & (j <= np.minimum(n - length - 1, i + n // 2))
+                a, b = np.nonzero(places & (j < (two + 1) * size) & ((j - i - length) % stride == 0) & (found > least))
+                first, second = pa.array(i[a, 0], pa.int32()), pa.array(j[b], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([track] * len(a), batch.column("track").type), first, second, pa.array(found[a, b])], names=["track", "i", "j", "similarity"])
+
     lengths = frames.groupBy("track").agg((F.max("idx") + 1).cast("int").alias("n")).filter(F.col("n") > length)
-    first = lengths.select("track", "n", F.explode(F.sequence(F.lit(0), F.col("n") - length - 1, F.lit(stride))).alias("i"))
-    low, high = F.col("i") + length, F.least(F.col("n") - length - 1, F.col("i") + F.floor(F.col("n") / 2).cast("int"))
-    second = F.when(low <= high, F.sequence(low, high, F.lit(stride)))
-    pairs = first.select("track", "i", F.explode(second).alias("j"))
-    step = max(1, length // points)
-    cells = pairs.select("track", "i", "j", F.explode(F.sequence(F.lit(0), F.lit(length - 1), F.lit(step))).alias("k"))
-    a = frames.select("track", F.col("idx").alias("p"), F.col("v").alias("a"))
-    b = frames.select("track", F.col("idx").alias("q"), F.col("v").alias("b"))
-    rows = cells.withColumn("p", F.col("i") + F.col("k")).withColumn("q", F.col("j") + F.col("k")).join(a, ["track", "p"]).join(b, ["track", "q"])
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    found = rows.groupBy("track", "i", "j").agg(F.avg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot))).alias("similarity"))
-    return found.filter(F.col("similarity") > least)
+    n = lengths.agg(F.sum(F.ceil(F.col("n") / size))).first()[0] or 1
+    rows = in_blocks(frames.select("track", F.col("idx").alias("frame"), "v"), size, 0, length - 1).filter("block >= 0")
+    dealt = rows.groupBy("track", "block").agg(F.array_sort(F.collect_list(F.struct("frame", "v"))).alias("rows")).join(lengths, "track")  # ``size`` and some
+    dealt = dealt.select("track", "n", "block", F.col("rows.v").alias("vs")).repartition(max(min(n, 16), -(-n // 32)))
+    one = dealt.select("track", "n", F.col("block").alias("p"), F.col("vs").alias("x"))
+    two = dealt.select(F.col("track").alias("other"), F.col("block").alias("q"), F.col("vs").alias("y"))
+    near = (F.col("track") == F.col("other")) & (F.col("q") >= F.col("p")) & (F.col("q") * size <= (F.col("p") + 1) * size + F.floor(F.col("n") / 2))
+    kind = frames.schema["track"].dataType.simpleString()
+    return one.hint("shuffle_replicate_nl").join(two, near).drop("other").mapInArrow(run, f"track {kind}, i int, j int, similarity double")
 
 
 def without_overlap(pairs: DataFrame, length: int) -> DataFrame:
