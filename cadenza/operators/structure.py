@@ -180,19 +180,32 @@ def repetition_pairs(frames: DataFrame, length: int, stride: int, points: int, l
 
 
 def without_overlap(pairs: DataFrame, length: int) -> DataFrame:
-    """The most similar repetitions of a track of which no interval overlaps one kept before."""
-    order = F.array_sort(F.collect_list(F.struct((-F.round("similarity", 9)).alias("s"), "i", "j", "similarity")))  # repetitions of one track
-    rows = pairs.groupBy("track").agg(order.alias("c"))
+    """The most similar repetitions of a track of which no interval overlaps one kept before.
 
-    def apart(a: Column, b: Column) -> Column:
-        return F.abs(a - b) >= length
-
-    def step(acc: Column, x: Column) -> Column:
-        free = F.forall(acc, lambda k: apart(k["i"], x["i"]) & apart(k["i"], x["j"]) & apart(k["j"], x["i"]) & apart(k["j"], x["j"]))
-        return F.when(free, F.concat(acc, F.array(x))).otherwise(acc)
+    Spark sorts the pairs of a track, on disk where they are many; one pass over them holds the places that are taken.
+    """
 
-    kind = "array<struct<s:double,i:int,j:int,similarity:double>>"
-    return rows.select("track", F.inline(F.aggregate("c", F.array().cast(kind), step))).drop("s")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track, taken = None, np.zeros(0, bool)  # the pairs of a track follow each other
+        for batch in batches:
+            tracks = batch.column("track").to_pylist()
+            i, j = (batch.column(c).to_numpy() for c in ("i", "j"))
+            taken = np.pad(taken, (0, max(0, int(max(i.max(initial=0), j.max(initial=0))) + length - len(taken))))
+            kept, start = [], 0
+            while start < len(tracks):
+                if tracks[start] != track:
+                    track, taken = tracks[start], np.zeros_like(taken)
+                end = next((k for k in range(start, len(tracks)) if tracks[k] != track), len(tracks))
+                for k in start + np.flatnonzero(~(taken[i[start:end]] | taken[j[start:end]])):
+                    if not (taken[i[k]] or taken[j[k]]):
+                        kept.append(k)
+                        for at in (i[k], j[k]):
+                            taken[max(0, at - length + 1) : at + length] = True
+                start = end
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    rows = pairs.select("track", "i", "j", "similarity", F.round("similarity", 9).alias("s")).repartition("track")  # one key to a sort, not one to a comparison
+    return rows.sortWithinPartitions("track", F.desc("s"), "i", "j").drop("s").mapInArrow(run, pairs.select("track", "i", "j", "similarity").schema)
 
 
 def in_order(sections: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Repetitions by blocks of time: the same rows as one pair of places at a time, and no row for each cell."""
+"""Repetitions by blocks of time: the same rows as one pair of places at a time, and no row for each cell or list of a track's pairs."""
 
 import numpy as np
 import pytest
@@ -39,12 +39,26 @@ def test_pairs_of_blocks_are_pairs_of_places(spark, length, stride, points):
         assert sorted((r["track"], r["i"], r["j"], round(r["similarity"], 9)) for r in found.collect()) == every
 
 
-def test_no_row_for_a_cell(spark):
+def test_kept_ones_are_those_of_a_loop(spark):
+    kept = []
+    for track, v in tracks().items():
+        used = set()
+        for i, j, s in sorted(wanted(v, 6, 1, 6, 0.45), key=lambda x: (-x[2], x[0], x[1])):
+            if all(abs(u - at) >= 6 for u in used for at in (i, j)):
+                kept.append((track, i, j, s))
+                used |= {i, j}
+    found = T.without_overlap(T.repetition_pairs(frames(spark), 6, 1, 6, 0.45, 7), 6)
+    assert sorted((r["track"], r["i"], r["j"], round(r["similarity"], 9)) for r in found.collect()) == sorted(kept)
+
+
+def test_no_row_for_a_cell_and_no_list_of_pairs(spark):
     pairs = T.repetition_pairs(frames(spark), 6, 1, 6, 0.45)
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "sequence(0, 5" not in plan
+    given = spark.createDataFrame([(1, 0, 9, 0.5)], pairs.schema)
+    assert "collect_list" not in T.without_overlap(given, 6)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_no_frames(spark):
     none = frames(spark).filter("track is null")
-    assert T.repetition_pairs(none, 6, 1, 6, 0.45).collect() == []
+    assert T.without_overlap(T.repetition_pairs(none, 6, 1, 6, 0.45), 6).collect() == []
